@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import importlib
+
 from checks import registry
-from checks import retention_checks  # noqa: F401  (registers on import)
+
+#: Importing a module registers its queries.
+MODULES = ("retention_checks", "row_checks", "quality_checks", "kpi_checks")
+
+for _module in MODULES:
+    importlib.import_module(f"checks.{_module}")
 
 
 def queries():

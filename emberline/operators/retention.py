@@ -38,16 +38,19 @@ def retained_players(
     keys: list[str],
     days: tuple[int, ...] = RETENTION_DAYS,
     closed: bool = True,
+    rolled: bool = False,
 ) -> DataFrame:
     """One row per cohort player with a 0/1 flag ``day_n`` per retention day.
 
-    ``cohorts`` needs player_id, registration_date and ``keys``. Only player-days
-    that hit a window survive the join, so its output stays near one row a player.
+    ``cohorts`` needs player_id, registration_date and ``keys``; ``sessions`` may
+    already be rolled up by :func:`session_days`. Only player-days that hit a
+    window survive the join, so its output stays near one row a player.
     """
     hits = {n: session_in_day_window(n, closed) for n in days}
-    rolled = session_days(sessions).withColumnRenamed("player_id", "active_player_id")
+    by_day = sessions if rolled else session_days(sessions)
+    by_day = by_day.withColumnRenamed("player_id", "active_player_id")
     joined = cohorts.join(
-        rolled, (F.col("player_id") == F.col("active_player_id")) & _any(hits.values()), "left"
+        by_day, (F.col("player_id") == F.col("active_player_id")) & _any(hits.values()), "left"
     )
     return joined.groupBy("player_id", *keys).agg(
         *[F.max(F.coalesce(hit, F.lit(False)).cast("int")).alias(f"day_{n}") for n, hit in hits.items()]
