@@ -298,17 +298,30 @@ def alert_message(metric: Column, change: Column, baseline: Column, current: Col
     )
 
 
-def _comparison(metric: str) -> Column:
-    current, baseline = F.col(metric).cast("double"), F.col(f"base_{metric}")
-    change = percentage_change(current, baseline)
-    return F.struct(
-        F.lit(metric).alias("metric_name"),
-        current.alias("current_value"),
-        baseline.alias("baseline_value"),
-        change.alias("percentage_change"),
-        ((baseline != 0) & (F.abs(change) >= SIGNIFICANT)).alias("is_significant"),
-        threshold_breached(F.lit(metric), change).alias("threshold_breached"),
-    )
+def _comparisons() -> Column:
+    """One struct per reported KPI of the row."""
+    pairs = [
+        F.struct(
+            F.lit(m).alias("metric_name"),
+            F.col(m).cast("double").alias("current_value"),
+            F.col(f"base_{m}").alias("baseline_value"),
+        )
+        for m in REPORTED
+    ]
+
+    def compare(pair: Column) -> Column:
+        name, baseline = pair["metric_name"], pair["baseline_value"]
+        change = percentage_change(pair["current_value"], baseline)
+        return F.struct(
+            name.alias("metric_name"),
+            pair["current_value"].alias("current_value"),
+            baseline.alias("baseline_value"),
+            change.alias("percentage_change"),
+            ((baseline != 0) & (F.abs(change) >= SIGNIFICANT)).alias("is_significant"),
+            threshold_breached(name, change).alias("threshold_breached"),
+        )
+
+    return F.transform(F.array(*pairs), compare)
 
 
 # Limits and expectations of the two absolute rules.
@@ -382,7 +395,7 @@ def with_comparisons(
     it is expressions on one row per date, so the KPIs are computed once.
     """
     based = _own_baselines(kpis, lookback) if history is None else _stored_baselines(kpis, history, lookback)
-    compared = based.withColumn("comparisons", F.array(*[_comparison(m) for m in REPORTED]))
+    compared = based.withColumn("comparisons", _comparisons())
     return compared.withColumn("alerts", _alerts()).drop(*[f"base_{m}" for m in REPORTED])
 
 
