@@ -7,7 +7,7 @@ import importlib
 from checks import registry
 
 #: Importing a module registers its queries.
-MODULES = ("retention_checks", "row_checks", "quality_checks", "kpi_checks", "io_checks")
+MODULES = ("retention_checks", "row_checks", "quality_checks", "kpi_checks", "io_checks", "ml_checks")
 
 for _module in MODULES:
     importlib.import_module(f"checks.{_module}")

@@ -32,9 +32,8 @@ def _write_profiles(t, folder):
 
 
 def _write_events(t, folder):
-    """Completions of level 30 lose their level when the id ends in 0: below the 5 % gate."""
-    broken = (F.col("level") == 30) & F.col("player_id").endswith("0")
-    sinks.write_json(t.E.withColumn("level", F.when(~broken | F.col("level").isNull(), F.col("level"))), f"{folder}/player_events.json")
+    """Completions of level 30 lose their level: below the 5 % gate."""
+    sinks.write_json(t.E.withColumn("level", F.when(F.col("level") != 30, F.col("level"))), f"{folder}/player_events.json")
 
 
 def _write_features(t, folder):
@@ -72,7 +71,7 @@ def _load_all(t):
 
 
 GOOD_P = "hour(registration_date) <> 23"
-GOOD_E = "NOT coalesce(level = 30 AND player_id LIKE '%0', false)"
+GOOD_E = "level IS DISTINCT FROM 30"
 add("load_profiles", _load_profiles, [P], f"SELECT {P_COLUMNS} FROM P WHERE {GOOD_P}")
 add("load_events", _load_events, [E], f"SELECT * FROM E WHERE {GOOD_E}")
 add("load_churn_features", lambda t: rounded(_load_features(t), "avg_session_duration_minutes", "purchases_last_30_days"), CF,
