@@ -112,7 +112,16 @@ add("predict_proba", lambda t: trained(t).predict_proba(churn_feature_table(t)))
 add("predict_label", lambda t: trained(t).predict_label(churn_feature_table(t)))
 
 
+def _saved(t: Tables):
+    folder = work_folder(t.spark)
+    trained(t).save(folder)
+    note = t.spark.read.text(f"{folder}/note")
+    names = F.from_json("value", "name string, feature_columns array<string>")["feature_columns"]
+    return note.select(F.posexplode(names).alias("position", "feature"))
+
+
 def _reloaded(t: Tables):
+    """Scores of all players from the fitted model and from its stored copy."""
     folder = work_folder(t.spark)
     model = trained(t)
     model.save(folder)
@@ -121,10 +130,11 @@ def _reloaded(t: Tables):
     pairs = model.predict_proba(features).join(
         again.predict_proba(features).withColumnRenamed("churn_probability", "reloaded"), "player_id"
     )
-    return pairs.withColumn("equal", F.abs(F.col("churn_probability") - F.col("reloaded")) < 1e-12)
+    return pairs.select("player_id", (F.col("churn_probability") == F.col("reloaded")).alias("equal"))
 
 
-add("save_load_model", _reloaded)
+add("save_model", _saved)
+add("load_model", _reloaded, [P], "SELECT player_id, true AS equal FROM P")
 
 
 def scored(t: Tables):

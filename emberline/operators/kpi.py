@@ -1,9 +1,9 @@
 """Daily KPI series, trailing baselines, alerts and report rows.
 
-KPIs are computed for a *range* of dates in one job. Sessions are reduced once
-to (player, day); every KPI is then a sum over that rollup or over one row per
-player, added up per date. Questions of the form "how many players satisfy X on
-date d" are answered by the date on which a player starts to satisfy X and a
+KPIs are computed for a *range* of dates in one job that reads the sessions
+once: they are reduced to (player, day), looked at per player, and turned into
+amounts that add up per date. Questions of the form "how many players satisfy X
+on date d" are answered by the date on which a player starts to satisfy X and a
 running sum over the calendar, so no player is ever paired with every date.
 """
 
@@ -18,13 +18,8 @@ from pyspark.sql.window import Window
 
 from emberline.functions.text import fixed, grouped, percent, title
 from emberline.functions.times import When, as_date, date_lit, month_start, ts_lit, week_start
-from emberline.operators.retention import (
-    RETENTION_DAYS,
-    cohort_retention,
-    registered_between,
-    retained_players,
-)
-from emberline.operators.rollups import registrations, session_days
+from emberline.operators.retention import RETENTION_DAYS, cohort_retention, session_in_day_window
+from emberline.operators.rollups import session_days
 
 # KPI names in reporting order, and the look-back of the baseline.
 REPORTED = (
@@ -42,13 +37,13 @@ BASELINE_DAYS = 30
 COHORT_DAYS = 30
 CHURN_LOOKBACK = 7
 
-#: Additive per-date columns the KPI pieces contribute to.
+#: Additive per-date amounts the KPIs are made of.
 _PARTS = (
     "dau",
-    "wau",
-    "month_first_seen",
-    "registered_total",
-    "churned_total",
+    "week_first",
+    "month_first",
+    "registered",
+    "churned",
     "new_registrations",
     "cohort_size",
     *(f"retained_{n}" for n in RETENTION_DAYS),
@@ -60,94 +55,98 @@ def calendar(spark: SparkSession, start: dt.date, end: dt.date) -> DataFrame:
     return spark.range(max(days, 0)).select(F.date_add(date_lit(start), F.col("id").cast("int")).alias("metric_date"))
 
 
-def _contribution(df: DataFrame, date: Column, **parts: Column) -> DataFrame:
-    return df.select(date.alias("metric_date"), *[c.cast("bigint").alias(n) for n, c in parts.items()])
-
-
-def _daily_actives(days: DataFrame) -> DataFrame:
-    per_day = days.groupBy("activity_date").agg(F.count(F.lit(1)).alias("n"))
-    return _contribution(per_day, F.col("activity_date"), dau=F.col("n"))
-
+def _player_timeline(profiles: DataFrame | None, sessions: DataFrame | None) -> DataFrame:
+    """Player-days with, as one more row of the player, the profile.
 
-def _weekly_actives(days: DataFrame, inclusive_end: bool) -> DataFrame:
-    """Distinct players of each week, given to all seven dates of it.
-
-    The week runs from Monday's to Sunday's midnight: unless ``inclusive_end``,
-    activity on Sunday counts only at the very stroke of midnight.
+    Stacking the two and looking at them through windows over the player brings
+    them together with a single shuffle of the rollup. A player has at most one
+    row per calendar day plus one, however many sessions there are.
     """
-    if not inclusive_end:
-        at_midnight = F.col("first_start") == F.col("activity_date").cast("timestamp_ntz")
-        days = days.where((F.weekday("activity_date") < 6) | at_midnight)
-    per_week = (
-        days.select("player_id", week_start(F.col("activity_date")).alias("week"))
-        .distinct()
-        .groupBy("week")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    spread = F.explode(F.sequence(F.col("week"), F.date_add("week", 6))).alias("date")
-    return _contribution(per_week.select("n", spread), F.col("date"), wau=F.col("n"))
+    sides = []
+    if sessions is not None:
+        sides.append(session_days(sessions).drop("sessions"))
+    if profiles is not None:
+        people = profiles.where(F.col("player_id").isNotNull() & F.col("registration_date").isNotNull())
+        sides.append(people.select("player_id", "registration_date", "last_active_date"))
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sides)
+    absent = {
+        name: F.lit(None).cast(kind)
+        for name, kind in (
+            ("activity_date", "date"),
+            ("first_start", "timestamp_ntz"),
+            ("last_start", "timestamp_ntz"),
+            ("registration_date", "timestamp_ntz"),
+            ("last_active_date", "timestamp_ntz"),
+        )
+        if name not in stacked.columns
+    }
+    return stacked.withColumns(absent) if absent else stacked
 
 
-def _first_seen_in_month(days: DataFrame) -> DataFrame:
-    firsts = (
-        days.groupBy("player_id", month_start(F.col("activity_date")).alias("month"))
-        .agg(F.min("activity_date").alias("first_seen"))
-        .groupBy("first_seen")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return _contribution(firsts, F.col("first_seen"), month_first_seen=F.col("n"))
+def _first_of_period(previous: Column, period) -> Column:
+    day = F.col("activity_date")
+    return previous.isNull() | (period(previous) < period(day))
 
 
-def _churn_starts(profiles: DataFrame, days: DataFrame, first: dt.date, lookback: int) -> DataFrame:
-    """+1 on the date a player starts to count as registered / as churned.
+def _contributions(
+    timeline: DataFrame, wanted: set[str], first: dt.date, churn_lookback: int, inclusive_week_end: bool
+) -> DataFrame:
+    """(date, part, amount) rows whose sums per date and part make up the KPIs.
 
-    On date d a player is registered when registration <= d's midnight, and
-    churned when moreover the last session day and the last active instant both
-    lie before d - lookback days.
+    ``month_first`` and ``week_first`` mark a player's first day in a month and
+    week; ``registered`` and ``churned`` the date from which a player counts.
     """
-    last_session = days.groupBy("player_id").agg(F.max("activity_date").alias("last_session"))
-    registered = F.to_date("registration_date")
-    counted_from = F.when(
-        F.col("registration_date") > registered.cast("timestamp_ntz"), F.date_add(registered, 1)
-    ).otherwise(registered)
-    idle_from = F.greatest(
-        F.date_add(F.to_date("last_active_date"), lookback + 1),
-        F.date_add(F.col("last_session"), lookback + 1),  # greatest() skips the null of "no session"
-    )
-    churned_from = F.when(F.col("last_active_date").isNotNull(), F.greatest(F.col("counted_from"), idle_from))
-    starts = (
-        profiles.where(F.col("registration_date").isNotNull())
-        .join(last_session, "player_id", "left")
-        .withColumn("counted_from", counted_from)
-        .select(
-            F.inline(
-                F.array(
-                    F.struct(F.col("counted_from").alias("date"), F.lit(1).alias("r"), F.lit(0).alias("c")),
-                    F.struct(churned_from.alias("date"), F.lit(0).alias("r"), F.lit(1).alias("c")),
-                )
-            )
+    by_player = Window.partitionBy("player_id")
+    day, registration = F.col("activity_date"), F.col("registration_date")
+    known = F.max(registration).over(by_player)
+    columns = {"previous_day": F.lag(day).over(by_player.orderBy(day)), "last_session": F.max(day).over(by_player)}
+    retention = wanted & {f"day_{n}_retention" for n in RETENTION_DAYS}
+    if retention:
+        rows = timeline.withColumn("joined", known)
+        hits = {n: session_in_day_window(n, registered="joined") for n in RETENTION_DAYS}
+        columns |= {
+            f"day_{n}": F.max(F.coalesce(hit, F.lit(False)).cast("bigint")).over(by_player) for n, hit in hits.items()
+        }
+    else:
+        rows = timeline
+    rows = rows.withColumns(columns)
+
+    parts: list[tuple[Column, str, Column]] = []
+    previous = F.col("previous_day")
+    if wanted & {"dau", "total_active_players"}:
+        parts.append((day, "dau", F.lit(1)))
+    if "mau" in wanted:
+        parts.append((day, "month_first", _first_of_period(previous, month_start).cast("bigint")))
+    if "wau" in wanted:
+        # the week runs from Monday's to Sunday's midnight: other activity on Sunday is not counted
+        at_midnight = F.col("first_start") == day.cast("timestamp_ntz")
+        counted = F.lit(True) if inclusive_week_end else (F.weekday(day) < 6) | at_midnight
+        starts = (_first_of_period(previous, week_start) & counted).cast("bigint")
+        parts.append((week_start(day), "week_first", starts))
+    cohort = F.to_date(registration)
+    if "new_registrations" in wanted:
+        parts.append((cohort, "new_registrations", F.lit(1)))
+    if retention:
+        parts.append((cohort, "cohort_size", F.lit(1)))
+        parts += [(cohort, f"retained_{n}", F.col(f"day_{n}")) for n in RETENTION_DAYS]
+    if "churn_rate" in wanted:
+        # registered on date d: registration <= d's midnight. Churned: moreover the last
+        # session day and the last active instant lie before d - lookback days.
+        counted_from = F.when(registration > cohort.cast("timestamp_ntz"), F.date_add(cohort, 1)).otherwise(cohort)
+        churned_from = F.greatest(  # greatest() skips the null of "no session"
+            counted_from,
+            F.date_add(F.to_date("last_active_date"), churn_lookback + 1),
+            F.date_add("last_session", churn_lookback + 1),
         )
-        .where(F.col("date").isNotNull())
-        .groupBy(F.greatest(F.col("date"), date_lit(first)).alias("date"))
-        .agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    )
-    return _contribution(starts, F.col("date"), registered_total=F.col("r"), churned_total=F.col("c"))
-
-
-def _new_registrations(profiles: DataFrame) -> DataFrame:
-    per_day = registrations(profiles).groupBy("cohort_date").agg(F.count(F.lit(1)).alias("n"))
-    return _contribution(per_day, F.col("cohort_date"), new_registrations=F.col("n"))
-
-
-def _cohort_counts(profiles: DataFrame, days: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
-    cohorts = registrations(registered_between(profiles, start, end), "registration_date")
-    counts = (
-        retained_players(cohorts, days, ["cohort_date"], rolled=True)
-        .groupBy("cohort_date")
-        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"day_{d}").alias(f"d{d}") for d in RETENTION_DAYS])
-    )
-    retained = {f"retained_{d}": F.col(f"d{d}") for d in RETENTION_DAYS}
-    return _contribution(counts, F.col("cohort_date"), cohort_size=F.col("n"), **retained)
+        since = date_lit(first)
+        parts.append((F.greatest(counted_from, since), "registered", registration.isNotNull().cast("bigint")))
+        churned = registration.isNotNull() & F.col("last_active_date").isNotNull()
+        parts.append((F.greatest(churned_from, since), "churned", churned.cast("bigint")))
+    structs = [
+        F.struct(date.alias("metric_date"), F.lit(name).alias("part"), amount.cast("bigint").alias("amount"))
+        for date, name, amount in parts
+    ]
+    return rows.select(F.inline(F.array(*structs))).where(F.col("metric_date").isNotNull() & (F.col("amount") > 0))
 
 
 def kpi_series(
@@ -159,44 +158,42 @@ def kpi_series(
     churn_lookback: int = CHURN_LOOKBACK,
     inclusive_week_end: bool = False,
 ) -> DataFrame:
-    """One row per date in [start, end] with the requested KPI columns."""
+    """One row per date in [start, end] with the requested KPI columns, in one pass."""
     first, last = as_date(start), as_date(end)
-    # running sums need the month so far, trailing ones the cohorts before the first date
+    wanted = set(metrics)
+    # running sums need the month and week so far, trailing ones the cohorts before the first date
     lead_in = min(first.replace(day=1), first - dt.timedelta(days=COHORT_DAYS))
-    days = session_days(sessions)
-    wanted, pieces = set(metrics), [calendar(profiles.sparkSession, lead_in, last)]
-    if wanted & {"dau", "total_active_players"}:
-        pieces.append(_daily_actives(days))
-    if "wau" in wanted:
-        pieces.append(_weekly_actives(days, inclusive_week_end))
-    if "mau" in wanted:
-        pieces.append(_first_seen_in_month(days))
-    if "churn_rate" in wanted:
-        pieces.append(_churn_starts(profiles, days, lead_in, churn_lookback))
-    if "new_registrations" in wanted:
-        pieces.append(_new_registrations(profiles))
-    if wanted & {f"day_{n}_retention" for n in RETENTION_DAYS}:
-        pieces.append(_cohort_counts(profiles, days, lead_in, last))
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), pieces)
-    present = [p for p in _PARTS if p in stacked.columns]
+    activity_only = wanted <= {"dau", "wau", "mau", "total_active_players"}
+    profiles_only = wanted <= {"new_registrations"}
+    timeline = _player_timeline(None if activity_only else profiles, None if profiles_only else sessions)
+    facts = _contributions(timeline, wanted, lead_in, churn_lookback, inclusive_week_end)
+    spine = calendar(profiles.sparkSession, lead_in, last).select(
+        "metric_date", F.lit("calendar").alias("part"), F.lit(0).cast("bigint").alias("amount")
+    )
+
+    def part(name: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("part") == name, F.col("amount"))), F.lit(0)).alias(name)
+
     per_date = (
-        stacked.where(F.col("metric_date").between(date_lit(lead_in), date_lit(last)))
+        facts.where(F.col("metric_date").between(date_lit(lead_in), date_lit(last)))
+        .unionByName(spine)
         .groupBy("metric_date")
-        .agg(*[F.coalesce(F.sum(p), F.lit(0)).alias(p) for p in present])
+        .agg(*[part(p) for p in _PARTS])
     )
     # one row per date from here on: bounded by the calendar
     to_date = Window.partitionBy().orderBy("metric_date")
     in_month = Window.partitionBy(month_start(F.col("metric_date"))).orderBy("metric_date")
+    in_week = Window.partitionBy(week_start(F.col("metric_date")))
     trailing = Window.partitionBy().orderBy(F.unix_date("metric_date")).rangeBetween(-COHORT_DAYS, -1)
 
-    def ratio(part: Column, whole: Column) -> Column:
-        return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
+    def ratio(some: Column, whole: Column) -> Column:
+        return F.when(whole > 0, some / whole).otherwise(F.lit(0.0))
 
     formulas = {
         "dau": lambda: F.col("dau"),
-        "wau": lambda: F.col("wau"),
-        "mau": lambda: F.sum("month_first_seen").over(in_month),
-        "churn_rate": lambda: ratio(F.sum("churned_total").over(to_date), F.sum("registered_total").over(to_date)),
+        "wau": lambda: F.sum("week_first").over(in_week),
+        "mau": lambda: F.sum("month_first").over(in_month),
+        "churn_rate": lambda: ratio(F.sum("churned").over(to_date), F.sum("registered").over(to_date)),
         "new_registrations": lambda: F.col("new_registrations"),
         "total_active_players": lambda: F.col("dau"),
     }

@@ -12,16 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.columns import behavior_segment, spend_segment
-from emberline.functions.times import When, as_date, date_lit, plus_days, ts_lit
+from emberline.functions.times import When, as_date, plus_days, ts_lit
 from emberline.operators.rollups import active_periods, registrations, session_days
 
 RETENTION_DAYS = (1, 7, 30)
 
 
-def session_in_day_window(day: int, closed: bool = True) -> Column:
-    """Did the joined (player, day) row have a session n days after registration?"""
-    opens = plus_days(F.col("registration_date"), day)
-    closes = plus_days(F.col("registration_date"), day + 1)
+def session_in_day_window(day: int, closed: bool = True, registered: str = "registration_date") -> Column:
+    """Did the (player, day) row have a session n days after the player's registration?"""
+    opens = plus_days(F.col(registered), day)
+    closes = plus_days(F.col(registered), day + 1)
     tail = (F.col("activity_date") == F.to_date(opens)) & (F.col("last_start") >= opens)
     in_time = F.col("first_start") <= closes if closed else F.col("first_start") < closes
     head = (F.col("activity_date") == F.to_date(closes)) & in_time
@@ -38,19 +38,16 @@ def retained_players(
     keys: list[str],
     days: tuple[int, ...] = RETENTION_DAYS,
     closed: bool = True,
-    rolled: bool = False,
 ) -> DataFrame:
     """One row per cohort player with a 0/1 flag ``day_n`` per retention day.
 
-    ``cohorts`` needs player_id, registration_date and ``keys``; ``sessions`` may
-    already be rolled up by :func:`session_days`. Only player-days that hit a
-    window survive the join, so its output stays near one row a player.
+    ``cohorts`` needs player_id, registration_date and ``keys``. Only player-days
+    that hit a window survive the join, so its output stays near one row a player.
     """
     hits = {n: session_in_day_window(n, closed) for n in days}
-    by_day = sessions if rolled else session_days(sessions)
-    by_day = by_day.withColumnRenamed("player_id", "active_player_id")
+    rolled = session_days(sessions).withColumnRenamed("player_id", "active_player_id")
     joined = cohorts.join(
-        by_day, (F.col("player_id") == F.col("active_player_id")) & _any(hits.values()), "left"
+        rolled, (F.col("player_id") == F.col("active_player_id")) & _any(hits.values()), "left"
     )
     return joined.groupBy("player_id", *keys).agg(
         *[F.max(F.coalesce(hit, F.lit(False)).cast("int")).alias(f"day_{n}") for n, hit in hits.items()]
@@ -181,8 +178,3 @@ def segment_retention(
     """Calendar-day retention per cohort and spend segment, in one pass."""
     cohorts = registrations(profiles, spend_segment(segment_field=segment_field).alias("segment"))
     return _calendar_retention(events, cohorts, "day", _day_offsets()).orderBy("segment", "cohort_date")
-
-
-def report_window(end: When, days: int) -> tuple[Column, Column]:
-    """Literal bounds [end - days, end] for date filters."""
-    return F.date_sub(date_lit(end), days), date_lit(end)
