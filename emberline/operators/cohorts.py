@@ -1,8 +1,9 @@
 """Cohort x day analysis.
 
-Everything below starts from *cells*: one row per (cohort date, days since
-registration) that was observed, with the number of distinct active players.
-There are at most (calendar days)^2 cells however large the event table is.
+Everything below starts from *counts*: one row per (cohort date, days since
+registration) with the number of distinct active players, and one more row per
+cohort with its size. There are at most (calendar days)^2 rows however large the
+event table is, and building them reads events and profiles once.
 """
 
 from __future__ import annotations
@@ -18,21 +19,32 @@ from emberline.operators.rollups import active_days, registrations
 FUNNEL_DAYS = (1, 3, 7, 14, 30)
 
 
-def cohort_sizes_by_date(profiles: DataFrame) -> DataFrame:
-    return registrations(profiles).groupBy("cohort_date").agg(F.count(F.lit(1)).alias("cohort_size"))
+#: The "day" of the row that holds a cohort's size.
+SIZE_ROW = -1_000_000_000
 
 
-def cohort_cells(events: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Observed cells with head-count, cohort size and rate."""
-    retained = (
-        active_days(events)
-        .join(registrations(profiles), "player_id")
-        .groupBy("cohort_date", F.date_diff("activity_date", "cohort_date").alias("day"))
-        .agg(F.count(F.lit(1)).alias("retained"))
-    )
-    return retained.join(cohort_sizes_by_date(profiles), "cohort_date").withColumn(
-        "retention_rate", F.col("retained") / F.col("cohort_size")
-    )
+def cohort_counts(events: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(cohort_date, day, players); the row with day ``SIZE_ROW`` counts the registrations.
+
+    Player-days and registrations are stacked and meet in a window over the
+    player, which has at most one row per calendar day plus one. Both keys are
+    declared non-null, so that no consumer pushes its own null filter below the
+    aggregation and Spark can reuse one exchange for all of them.
+    """
+    stacked = active_days(events).unionByName(registrations(profiles), allowMissingColumns=True)
+    home = F.max("cohort_date").over(Window.partitionBy("player_id"))
+    placed = stacked.select("activity_date", home.alias("home")).where(F.col("home").isNotNull())
+    day = F.coalesce(F.date_diff("activity_date", "home"), F.lit(SIZE_ROW))
+    cohort = F.coalesce("home", F.lit("1970-01-01").cast("date"))
+    return placed.groupBy(cohort.alias("cohort_date"), day.alias("day")).agg(F.count(F.lit(1)).alias("players"))
+
+
+def _size() -> Column:
+    return F.max(F.when(F.col("day") == SIZE_ROW, F.col("players")))
+
+
+def _seen() -> Column:
+    return (F.col("day") != SIZE_ROW) & (F.col("players") > 0)
 
 
 def cohort_table(events: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -42,17 +54,16 @@ def cohort_table(events: DataFrame, profiles: DataFrame) -> DataFrame:
     activity keeps its rows with null values. Observed days arrive as one array
     (bounded by the calendar), so the grid is emitted at exactly its own size.
     """
-    cells = cohort_cells(events, profiles)
-    observed = cells.agg(F.array_sort(F.collect_set("day")).alias("days")).scalar()
-    active = cells.select("cohort_date").distinct().withColumn("active", F.lit(True))
+    counts = cohort_counts(events, profiles)
+    observed = counts.agg(F.array_sort(F.collect_set(F.when(_seen(), F.col("day")))).alias("days")).scalar()
     grid = (
-        cohort_sizes_by_date(profiles)
-        .join(active, "cohort_date", "left")
+        counts.groupBy("cohort_date")
+        .agg(_size().alias("cohort_size"), F.max(_seen()).alias("active"))
         .withColumn("days", observed)
         .select("cohort_date", "cohort_size", "active", F.explode("days").alias("day"))
     )
-    filled = grid.join(cells.select("cohort_date", "day", "retained"), ["cohort_date", "day"], "left")
-    retained = F.when(F.col("active"), F.coalesce("retained", F.lit(0)))
+    filled = grid.join(counts, ["cohort_date", "day"], "left")
+    retained = F.when(F.col("active"), F.coalesce("players", F.lit(0)))
     return filled.select(
         "cohort_date",
         "day",
@@ -114,22 +125,28 @@ def cohort_sizes(events: DataFrame, profiles: DataFrame) -> DataFrame:
     )
 
 
-def _active_cohort_count(cells: DataFrame) -> Column:
-    return cells.agg(F.count_distinct("cohort_date").alias("n")).scalar()
-
-
 def avg_retention_by_day(events: DataFrame, profiles: DataFrame) -> DataFrame:
     """Unweighted mean rate over active cohorts per day >= 0.
 
     The mean over the zero-filled grid equals the sum over observed cells
     divided by the number of active cohorts, so the grid itself is not built.
+    Each active cohort is counted once, at its first observed day.
     """
-    cells = cohort_cells(events, profiles)
+    per_cohort = Window.partitionBy("cohort_date")
+    first_day = F.min(F.when(_seen(), F.col("day"))).over(per_cohort)
+    every = Window.partitionBy()  # one row per day
     return (
-        cells.where(F.col("day") >= 0)
+        cohort_counts(events, profiles)
+        .withColumns({"cohort_size": _size().over(per_cohort), "first_day": first_day})
+        .where(_seen())
         .groupBy("day")
-        .agg(F.sum("retention_rate").alias("total"))
-        .select("day", (F.col("total") / _active_cohort_count(cells)).alias("avg_retention"))
+        .agg(
+            F.sum(F.col("players") / F.col("cohort_size")).alias("total"),
+            F.count_if(F.col("day") == F.col("first_day")).alias("cohorts"),
+        )
+        .withColumn("cohorts", F.sum("cohorts").over(every))
+        .where(F.col("day") >= 0)
+        .select("day", (F.col("total") / F.col("cohorts")).alias("avg_retention"))
         .orderBy("day")
     )
 
@@ -139,25 +156,23 @@ def _key_day_rates(events: DataFrame, profiles: DataFrame, days: tuple[int, ...]
 
     ``seen<n>`` tells whether any cohort was observed on day n.
     """
-    cells = cohort_cells(events, profiles)
-    wide = cells.groupBy("cohort_date").agg(
-        F.lit(True).alias("active"),
-        *[
-            F.coalesce(F.max(F.when(F.col("day") == n, F.col("retention_rate"))), F.lit(0.0)).alias(f"d{n}")
-            for n in days
-        ],
+    active = F.col("active")
+    wide = (
+        cohort_counts(events, profiles)
+        .groupBy("cohort_date")
+        .agg(
+            _size().alias("cohort_size"),
+            F.max(_seen()).alias("active"),
+            *[F.max(F.when(F.col("day") == n, F.col("players"))).alias(f"n{n}") for n in days],
+        )
     )
     every = Window.partitionBy()  # one row per cohort date: bounded by the calendar
-    return (
-        cohort_sizes_by_date(profiles)
-        .join(wide, "cohort_date", "left")
-        .select(
-            "cohort_date",
-            "cohort_size",
-            F.coalesce("active", F.lit(False)).alias("active"),
-            *[f"d{n}" for n in days],
-            *[F.coalesce(F.max(F.col(f"d{n}") > 0).over(every), F.lit(False)).alias(f"seen{n}") for n in days],
-        )
+    return wide.select(
+        "cohort_date",
+        "cohort_size",
+        "active",
+        *[F.when(active, F.coalesce(f"n{n}", F.lit(0)) / F.col("cohort_size")).alias(f"d{n}") for n in days],
+        *[F.max(F.col(f"n{n}").isNotNull()).over(every).alias(f"seen{n}") for n in days],
     )
 
 
@@ -262,26 +277,39 @@ def lifecycle_segments(events: DataFrame, profiles: DataFrame, as_of: When) -> D
 
 
 def cohort_ltv(events: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Revenue, mean value, payers and conversion per cohort; empty without purchases."""
-    purchases = events.where(F.col("event_type") == "purchase")
-    revenue = (
-        purchases.where(F.col("player_id").isNotNull())
+    """Revenue, mean value, payers and conversion per cohort; empty without purchases.
+
+    Purchases and registrations are stacked and summed per player; what belongs
+    to no profile ends in a cohort without a date and is left out.
+    """
+    purchases = events.where(F.col("event_type") == "purchase").select(
+        "player_id", F.lit(None).cast("date").alias("cohort_date"), "purchase_amount", F.lit(1).alias("purchases")
+    )
+    people = registrations(profiles).select(
+        "player_id", "cohort_date", F.lit(None).cast("double").alias("purchase_amount"), F.lit(0).alias("purchases")
+    )
+    per_player = (
+        purchases.unionByName(people)
         .groupBy("player_id")
-        .agg(F.coalesce(F.sum("purchase_amount"), F.lit(0.0)).alias("revenue"))
+        .agg(
+            F.max("cohort_date").alias("cohort_date"),
+            F.coalesce(F.sum("purchase_amount"), F.lit(0.0)).alias("revenue"),
+            F.sum("purchases").alias("purchases"),
+        )
     )
-    any_purchase = purchases.agg((F.count(F.lit(1)) > 0).alias("found")).scalar()
+    every = Window.partitionBy()  # one row per cohort date
     return (
-        registrations(profiles)
-        .join(revenue, "player_id", "left")
-        .withColumn("revenue", F.coalesce("revenue", F.lit(0.0)))
-        .groupBy("cohort_date")
+        per_player.groupBy("cohort_date")
         .agg(
             F.count(F.lit(1)).alias("cohort_size"),
             F.sum("revenue").alias("total_revenue"),
             F.avg("revenue").alias("avg_ltv"),
             F.count_if(F.col("revenue") > 0).alias("paying_users"),
+            F.sum("purchases").alias("purchases"),
         )
-        .where(any_purchase)
+        .withColumn("purchases", F.sum("purchases").over(every))
+        .where((F.col("purchases") > 0) & F.col("cohort_date").isNotNull())
+        .drop("purchases")
         .withColumn("conversion_rate", F.col("paying_users") / F.col("cohort_size"))
         .orderBy("cohort_date")
     )

@@ -255,13 +255,20 @@ def consistency_checks(events: DataFrame, profiles: DataFrame, config: QualityCo
     return sums.where("total > 0").select(F.inline(F.array(row)))
 
 
+def _hourly_volume(events: DataFrame) -> DataFrame:
+    """Events per (date, hour): the common ground of the two volume checks."""
+    timed = events.where(F.col("timestamp").isNotNull())
+    return timed.groupBy(F.to_date("timestamp").alias("date"), F.hour("timestamp").alias("hour")).agg(
+        F.count(F.lit(1)).alias("volume")
+    )
+
+
 def daily_volume_drop(events: DataFrame, history: DataFrame, config: QualityConfig = DEFAULTS) -> DataFrame:
     """A failed row for each day far below the mean daily volume of ``history``."""
     rule = config.active("daily_event_volume_drop")
 
     def daily(df: DataFrame) -> DataFrame:
-        dated = df.where(F.col("timestamp").isNotNull())
-        return dated.groupBy(F.to_date("timestamp").alias("date")).agg(F.count(F.lit(1)).alias("volume"))
+        return _hourly_volume(df).groupBy("date").agg(F.sum("volume").alias("volume"))
 
     typical = daily(history).agg(F.avg("volume").alias("typical")).scalar()
     drops = (
@@ -285,9 +292,9 @@ def hourly_spike(events: DataFrame, config: QualityConfig = DEFAULTS) -> DataFra
     """Peak over mean volume by hour of day; no row when at most one hour has events."""
     rule = config.active("hourly_event_volume_spike") or Rule("", 5.0, "warning", False)
     hours = (
-        events.where(F.col("timestamp").isNotNull())
-        .groupBy(F.hour("timestamp").alias("hour"))
-        .agg(F.count(F.lit(1)).alias("volume"))
+        _hourly_volume(events)
+        .groupBy("hour")
+        .agg(F.sum("volume").alias("volume"))
         .agg(F.count(F.lit(1)).alias("hours"), F.max("volume").alias("peak"), F.avg("volume").alias("mean"))
         .where((F.col("hours") > 1) & F.lit(rule.enabled))
     )
