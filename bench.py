@@ -22,9 +22,18 @@ from pyspark.sql import functions as F  # noqa: E402
 from checks import catalog  # noqa: E402
 from checks.feature_sql import churn_feature_table  # noqa: E402
 from checks.registry import Tables  # noqa: E402
+from emberline.operators import activity, cohorts, kpi, quality, retention  # noqa: E402
 from emberline.operators.features import engineer_features  # noqa: E402
 from emberline.plans.dashboard import dashboard_tables  # noqa: E402
-from emberline.plans.fixtures import AS_OF  # noqa: E402
+from emberline.plans.fixtures import (  # noqa: E402
+    AS_OF,
+    COHORT_END,
+    COHORT_START,
+    DROPOFF_END,
+    DROPOFF_START,
+    KPI_END,
+    KPI_START,
+)
 from emberline.session import build_session  # noqa: E402
 from emberline.sources import readers, sinks  # noqa: E402
 
@@ -51,7 +60,6 @@ HEADLINE = (
     "dq_orphans",
     "ml_scores",
 )
-SCALED = ("cohort_retention", "level_dropoff", "behavior_segments", "daily_retention", "key_metrics", "dq_events_suite")
 COPIES = 40
 
 
@@ -73,11 +81,12 @@ def copied_events(spark, sf_dir: str, folder: str) -> None:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     users = events.agg(F.max("user_id") + 1).first()[0]
     rows = events.agg(F.max("event_id") + 1).first()[0]
-    copies = events.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    copies = events.repartition(8).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
     (
         copies.withColumn("user_id", F.col("user_id") + F.col("copy") * users)
         .withColumn("event_id", F.col("event_id") + F.col("copy") * rows)
         .drop("copy")
+        .repartition(16)
         .write.parquet(f"{folder}/events.parquet")
     )
 
@@ -85,33 +94,43 @@ def copied_events(spark, sf_dir: str, folder: str) -> None:
 def scaled_runs(spark, sf_dir: str) -> dict[str, float]:
     folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     copied_events(spark, sf_dir, folder)
-    tables, queries = Tables(spark, folder), catalog.queries()
+    derived, stored = Tables(spark, folder), {}
+    for name, df in (("P", derived.P), ("E", derived.E), ("S", derived.S), ("CF", churn_feature_table(derived))):
+        df.repartition(16).write.parquet(f"{folder}/{name}")
+        stored[name] = spark.read.parquet(f"{folder}/{name}")
+    P, E, S, CF = stored.values()
     inputs = f"{folder}/json"
-    sinks.write_json(tables.P, f"{inputs}/player_profiles.json")
-    sinks.write_json(tables.E, f"{inputs}/player_events.json")
-    features = f"{folder}/churn_features"
-    churn_feature_table(tables).write.parquet(features)
-    sinks.write_json(spark.read.parquet(features), f"{inputs}/churn_features.json")
+    for df, name in ((P, "player_profiles"), (E, "player_events"), (CF, "churn_features")):
+        sinks.write_json(df, f"{inputs}/{name}.json")
+    as_of = AS_OF.replace(day=31)
+
+    def fresh() -> str:
+        return tempfile.mkdtemp(prefix="landed-", dir=folder)
 
     def load() -> None:
-        for df in readers.load_all(spark, inputs, AS_OF.replace(day=31)).values():
+        for df in readers.load_all(spark, inputs, as_of, landing=fresh()).values():
             materialise(df)
 
     def load_and_derive() -> None:
-        loaded = readers.load_all(spark, inputs, AS_OF.replace(day=31))
-        for df in dashboard_tables(loaded["player_profiles"], loaded["player_events"], AS_OF).values():
+        loaded = readers.load_all(spark, inputs, as_of, landing=fresh())
+        for df in dashboard_tables(loaded["player_profiles"], loaded["player_events"], as_of).values():
             materialise(df)
 
-    result = {
-        "players": tables.P.count(),
-        "player_events": tables.E.count(),
-        "full_json_load": timed(load, 1),
-        "full_json_load_and_dashboard": timed(load_and_derive, 1),
-        "feature_engineering": timed(lambda: materialise(engineer_features(spark.read.parquet(features)))),
+    runs = {
+        "full_json_load": load,
+        "full_json_load_and_dashboard": load_and_derive,
+        "feature_engineering": lambda: materialise(engineer_features(CF)),
+        "cohort_retention": lambda: materialise(retention.cohort_retention(P, S, COHORT_START, COHORT_END)),
+        "level_dropoff": lambda: materialise(activity.level_dropoff(P, S, DROPOFF_START, DROPOFF_END)),
+        "behavior_segments": lambda: materialise(activity.behavior_segments(P, S, COHORT_START, COHORT_END)),
+        "daily_retention": lambda: materialise(retention.daily_retention(E, P)),
+        "cohort_table": lambda: materialise(cohorts.cohort_table(E, P)),
+        "daily_player_summary": lambda: materialise(activity.daily_player_summary(E)),
+        "key_metrics": lambda: materialise(kpi.kpi_series(P, S, KPI_START, KPI_END)),
+        "events_quality_suite": lambda: materialise(quality.event_checks(E, as_of)),
     }
-    for name in SCALED:
-        result[name] = timed(lambda: materialise(queries[name](spark, folder)), 1)
-    return result
+    result = {"players": P.count(), "player_events": E.count()}
+    return result | {name: timed(run, 1 if name.startswith("full") else 3) for name, run in runs.items()}
 
 
 def main() -> None:

@@ -43,13 +43,15 @@ def _write_features(t, folder):
 def _load_profiles(t):
     folder = work_folder(t.spark)
     _write_profiles(t, folder)
-    return readers.load_profiles(t.spark, f"{folder}/player_profiles.json").clean
+    return readers.load_profiles(t.spark, f"{folder}/player_profiles.json", landing=f"{folder}/landed").clean
 
 
 def _load_events(t):
     folder = work_folder(t.spark)
     _write_events(t, folder)
-    return readers.load_events(t.spark, f"{folder}/player_events.json", AS_OF + dt.timedelta(days=1)).clean
+    return readers.load_events(
+        t.spark, f"{folder}/player_events.json", AS_OF + dt.timedelta(days=1), landing=f"{folder}/landed"
+    ).clean
 
 
 def _load_features(t):
@@ -63,7 +65,7 @@ def _load_all(t):
     _write_profiles(t, folder)
     _write_events(t, folder)
     _write_features(t, folder)
-    tables = readers.load_all(t.spark, folder, AS_OF + dt.timedelta(days=1))
+    tables = readers.load_all(t.spark, folder, AS_OF + dt.timedelta(days=1), landing=f"{folder}/landed")
     counts = [
         df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("records")) for name, df in tables.items()
     ]

@@ -209,6 +209,12 @@ def session_durations(events: DataFrame, as_of: When, config: QualityConfig = DE
     return event_checks(events, as_of, config, ["invalid_session_durations"])
 
 
+def critical_event_checks(events: DataFrame, as_of: When, config: QualityConfig = DEFAULTS) -> DataFrame:
+    """The event checks that can stop a load: those of critical severity, and emptiness."""
+    names = [n for n in EVENT_CHECKS if (rule := config.active(n)) and rule.severity == "critical"]
+    return event_checks(events, as_of, config, names)
+
+
 def empty_inputs(events: DataFrame, profiles: DataFrame) -> DataFrame:
     """A row for each input that has no rows at all."""
 

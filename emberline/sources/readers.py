@@ -6,7 +6,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,59 +47,85 @@ def _read_json(spark: SparkSession, path: str, schema: T.StructType, array_file:
     return raw.withColumns({n: F.col(n).try_cast(t) for n, t in instants.items()})
 
 
-def _gated(df: DataFrame, rule_set: Mapping[str, Column], limit: float, what: str) -> Loaded:
+def _gated(
+    df: DataFrame, rule_set: Mapping[str, Column], limit: float, what: str, landing: str | None
+) -> Loaded:
+    """Check every record and stop when too many are bad.
+
+    With a ``landing`` folder the text is parsed once: the checked rows are
+    written there as Parquet, the bad share is observed on the way, and all later
+    work reads the columns. Without one the text is parsed again by every use.
+    """
     checked = rules.with_reasons(df, {"corrupt_record": F.col(CORRUPT).isNotNull(), **rule_set})
-    clean, bad = rules.split(checked)
-    sums = checked.agg(
+    measures = [
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.size("reasons") > 0).alias("bad"),
-        F.slice(F.collect_set(F.get("reasons", 0)), 1, 5).alias("examples"),  # at most one entry per rule
-    ).first()
+        F.collect_set(F.get("reasons", 0)).alias("examples"),  # at most one entry per rule
+    ]
+    if landing is None:
+        sums = checked.agg(*measures).first().asDict()
+    else:
+        seen = Observation()
+        checked.observe(seen, *measures).write.mode("overwrite").parquet(landing)
+        sums = seen.get
+        checked = df.sparkSession.read.schema(checked.schema).parquet(landing)
+    clean, bad = rules.split(checked)
     share = sums["bad"] / sums["total"] if sums["total"] else 0.0
     if share > limit:
-        raise LoadError(f"Too many {what} validation errors ({share:.1%}): {sorted(sums['examples'])}")
+        raise LoadError(f"Too many {what} validation errors ({share:.1%}): {sorted(sums['examples'])[:5]}")
     return Loaded(clean.drop(CORRUPT), bad, share)
 
 
-def load_profiles(spark: SparkSession, path: str, array_file: bool = False) -> Loaded:
+def load_profiles(
+    spark: SparkSession, path: str, array_file: bool = False, landing: str | None = None
+) -> Loaded:
     """Profiles from JSON; aborts when more than 10 % of them are bad.
 
     The default is JSON Lines, which splits across tasks. ``array_file`` reads
     files that hold one JSON array each; such a file is one task's work.
     """
-    return _gated(
-        _read_json(spark, path, schemas.PROFILES, array_file), rules.profile_rules(), MAX_BAD_PROFILES, "profile"
-    )
+    raw = _read_json(spark, path, schemas.PROFILES, array_file)
+    return _gated(raw, rules.profile_rules(), MAX_BAD_PROFILES, "profile", landing)
 
 
-def load_events(spark: SparkSession, path: str, as_of: When, array_file: bool = False) -> Loaded:
+def load_events(
+    spark: SparkSession, path: str, as_of: When, array_file: bool = False, landing: str | None = None
+) -> Loaded:
     """Events from JSON; aborts above 5 % bad rows or on a failed critical quality check."""
-    loaded = _gated(
-        _read_json(spark, path, schemas.EVENTS, array_file), rules.event_rules(), MAX_BAD_EVENTS, "event"
-    )
-    critical = (
-        quality.event_checks(loaded.clean, as_of)
+    raw = _read_json(spark, path, schemas.EVENTS, array_file)
+    loaded = _gated(raw, rules.event_rules(), MAX_BAD_EVENTS, "event", landing)
+    failed = (
+        quality.critical_event_checks(loaded.clean, as_of)
         .where(~F.col("passed") & (F.col("severity") == "critical"))
         .select("message")
         .collect()  # at most one row per critical rule
     )
-    if critical:
-        raise LoadError(f"Critical data quality issues: {[r.message for r in critical]}")
+    if failed:
+        raise LoadError(f"Critical data quality issues: {[r.message for r in failed]}")
     return loaded
 
 
-def load_churn_features(spark: SparkSession, path: str, array_file: bool = False) -> DataFrame:
+def load_churn_features(
+    spark: SparkSession, path: str, array_file: bool = False, landing: str | None = None
+) -> DataFrame:
     """Churn features from JSON; a single bad row aborts."""
     raw = _read_json(spark, path, schemas.CHURN_FEATURES, array_file)
-    return _gated(raw, rules.churn_feature_rules(), 0.0, "churn feature").clean
+    return _gated(raw, rules.churn_feature_rules(), 0.0, "churn feature", landing).clean
 
 
-def load_all(spark: SparkSession, folder: str, as_of: When, array_file: bool = False) -> dict[str, DataFrame]:
+def load_all(
+    spark: SparkSession, folder: str, as_of: When, array_file: bool = False, landing: str | None = None
+) -> dict[str, DataFrame]:
     """The three input files of a data folder."""
+
+    def source(name: str) -> dict:
+        target = f"{landing.rstrip('/')}/{name}" if landing else None
+        return {"path": f"{folder}/{name}.json", "array_file": array_file, "landing": target}
+
     return {
-        "player_profiles": load_profiles(spark, f"{folder}/player_profiles.json", array_file).clean,
-        "player_events": load_events(spark, f"{folder}/player_events.json", as_of, array_file).clean,
-        "churn_features": load_churn_features(spark, f"{folder}/churn_features.json", array_file),
+        "player_profiles": load_profiles(spark, **source("player_profiles")).clean,
+        "player_events": load_events(spark, as_of=as_of, **source("player_events")).clean,
+        "churn_features": load_churn_features(spark, **source("churn_features")),
     }
 
 

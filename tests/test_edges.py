@@ -124,6 +124,9 @@ def test_profile_loader_gate(spark, tmp_path):
     assert loaded.clean.first().last_active_date == dt.datetime(2024, 1, 5, 10, 30, 0, 250000)
     array = _write(tmp_path, "array.json", json.dumps([*rows, bad]))
     assert readers.load_profiles(spark, array, array_file=True).clean.count() == 19
+    landed = readers.load_profiles(spark, lines, landing=str(tmp_path / "landed"))
+    assert landed.bad_share == 0.05 and landed.quarantine.first().reasons == ["risk_out_of_range"]
+    assert landed.clean.exceptAll(loaded.clean).count() == 0 and landed.clean.count() == 19
     with pytest.raises(readers.LoadError, match="Too many profile validation errors"):
         readers.load_profiles(spark, _write(tmp_path, "bad.json", json.dumps(bad)))
 
