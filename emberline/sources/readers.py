@@ -6,7 +6,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,22 +53,18 @@ def _gated(
     """Check every record and stop when too many are bad.
 
     With a ``landing`` folder the text is parsed once: the checked rows are
-    written there as Parquet, the bad share is observed on the way, and all later
-    work reads the columns. Without one the text is parsed again by every use.
+    written there as Parquet, and all later work reads the columns it needs.
+    Without one the text is parsed again by every use.
     """
     checked = rules.with_reasons(df, {"corrupt_record": F.col(CORRUPT).isNotNull(), **rule_set})
-    measures = [
+    if landing is not None:
+        checked.write.mode("overwrite").parquet(landing)
+        checked = df.sparkSession.read.schema(checked.schema).parquet(landing)
+    sums = checked.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.size("reasons") > 0).alias("bad"),
         F.collect_set(F.get("reasons", 0)).alias("examples"),  # at most one entry per rule
-    ]
-    if landing is None:
-        sums = checked.agg(*measures).first().asDict()
-    else:
-        seen = Observation()
-        checked.observe(seen, *measures).write.mode("overwrite").parquet(landing)
-        sums = seen.get
-        checked = df.sparkSession.read.schema(checked.schema).parquet(landing)
+    ).first()
     clean, bad = rules.split(checked)
     share = sums["bad"] / sums["total"] if sums["total"] else 0.0
     if share > limit:
