@@ -77,8 +77,8 @@ GOOD_E = "level IS DISTINCT FROM 30"
 add("load_profiles", _load_profiles, [P], f"SELECT {P_COLUMNS} FROM P WHERE {GOOD_P}")
 add("load_events", _load_events, [E], f"SELECT * FROM E WHERE {GOOD_E}")
 add("load_churn_features", lambda t: rounded(_load_features(t), "avg_session_duration_minutes", "purchases_last_30_days"), CF,
-    """SELECT * REPLACE (round(avg_session_duration_minutes, 6) AS avg_session_duration_minutes,
-      round(purchases_last_30_days, 6) AS purchases_last_30_days) FROM CF""")
+    """SELECT * REPLACE (round(1e-9 + avg_session_duration_minutes, 6) AS avg_session_duration_minutes,
+      round(1e-9 + purchases_last_30_days, 6) AS purchases_last_30_days) FROM CF""")
 add(
     "load_all",
     _load_all,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from checks.feature_sql import CF, churn_feature_table
 from checks.fixture_sql import P
-from checks.registry import Tables, add, rounded
+from checks.registry import Tables, add, r6, rounded
 from checks.row_checks import SCORES
 from emberline.functions.times import plus_days, ts_lit
 from emberline.ml import churn_model as cm
@@ -37,14 +37,14 @@ def trained(t: Tables):
     return _trained(t.spark, t.sf_dir)
 
 
-RAW = ", ".join(f"round({c}::DOUBLE, 6) AS {c}" for c in cm.RAW_FEATURES)
+RAW = ", ".join(f"round(1e-9 + {c}::DOUBLE, 6) AS {c}" for c in cm.RAW_FEATURES)
 LABEL = "LEFT JOIN (SELECT player_id, last_active_date < TIMESTAMP '2024-01-23 00:00:00' AS churned FROM P) USING (player_id)"
 
 
 def _spread(df, column, *keep):
     """Vector elements as plain columns."""
     elements = vector_to_array(column)
-    return df.select(*keep, *[F.round(elements[i], 6).alias(n) for i, n in enumerate(cm.FEATURE_COLUMNS)])
+    return df.select(*keep, *[r6(elements[i]).alias(n) for i, n in enumerate(cm.FEATURE_COLUMNS)])
 
 
 add(
@@ -85,7 +85,7 @@ add(
     CF,
     f""", {RANKED}, en AS ({_EXACT}), m AS (SELECT {', '.join(
         f"avg({c}) AS a_{c}, stddev_pop({c}) AS s_{c}" for c in cm.FEATURE_COLUMNS)} FROM en WHERE NOT is_test)
-    SELECT player_id, {', '.join(f"round(({c} - a_{c}) / s_{c}, 6) AS {c}" for c in cm.FEATURE_COLUMNS)} FROM en, m""",
+    SELECT player_id, {', '.join(f"round(1e-9 + ({c} - a_{c}) / s_{c}, 6) AS {c}" for c in cm.FEATURE_COLUMNS)} FROM en, m""",
 )
 
 
@@ -156,8 +156,8 @@ add(
     [P],
     f""", {SCORED} SELECT tn AS true_negatives, fp AS false_positives, fn AS false_negatives, tp AS true_positives,
       (tp + tn)::DOUBLE / (tp + tn + fp + fn) AS accuracy, tp::DOUBLE / (tp + fp) AS precision, tp::DOUBLE / (tp + fn) AS recall,
-      round(2.0 * tp::DOUBLE / (2 * tp + fp + fn), 6) AS f1_score,
-      (SELECT round(avg(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END), 6) FROM sc a, sc b WHERE a.l = 1 AND b.l = 0) AS roc_auc
+      round(1e-9 + 2.0 * tp::DOUBLE / (2 * tp + fp + fn), 6) AS f1_score,
+      (SELECT round(1e-9 + avg(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END), 6) FROM sc a, sc b WHERE a.l = 1 AND b.l = 0) AS roc_auc
     FROM cf""",
 )
 add(
@@ -170,7 +170,7 @@ add(
     x AS (SELECT * FROM c UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1_score), sum(support) FROM c
       UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
         sum(f1_score * support) / sum(support), sum(support) FROM c)
-    SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1_score, 6) AS f1_score,
+    SELECT class, round(1e-9 + precision, 6) AS precision, round(1e-9 + recall, 6) AS recall, round(1e-9 + f1_score, 6) AS f1_score,
       support::BIGINT AS support FROM x""",
 )
 add(

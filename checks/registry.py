@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.fixture_sql import with_views
@@ -67,6 +67,11 @@ def add(name: str, build: Callable[[Tables], DataFrame], views: list[str] | None
         SQL[name] = with_views(views, sql) if views else sql.strip()
 
 
-def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+def r6(column: Column | str) -> Column:
+    """Six digits; the nudge keeps exact ties from falling to either side by a last bit."""
+    return F.round(F.lit(1e-9) + (F.col(column) if isinstance(column, str) else column), 6)
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
     """Round sums and means, whose last bits depend on the order of addition."""
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    return df.withColumns({c: r6(c) for c in columns})

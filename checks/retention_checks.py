@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.fixture_sql import E, P, S
-from checks.registry import add, rounded
+from checks.registry import add, r6, rounded
 from emberline.operators import activity, churn, cohorts, funnels, retention
 from emberline.plans.fixtures import AS_OF, COHORT_END, COHORT_START, DROPOFF_END, DROPOFF_START
 
@@ -140,7 +140,7 @@ def _heatmap(t):
         F.concat_ws(
             ",", F.transform("rates", lambda r: F.coalesce(F.format_string("%.3f", F.bround(r, 3)), F.lit("-")))
         ).alias("rates"),
-        F.round("day_0_rate", 6).alias("day_0_rate"),
+        r6("day_0_rate").alias("day_0_rate"),
     )
 
 
@@ -150,7 +150,7 @@ add(
     [P, E],
     f""", {GRID} SELECT cohort_date, cohort_size, string_agg(CAST(day AS VARCHAR), ',' ORDER BY day) AS days,
       string_agg(coalesce(printf('%.3f', round_even(retention_rate, 3)), '-'), ',' ORDER BY day) AS rates,
-      round(max(CASE WHEN day = 0 THEN retention_rate END), 6) AS day_0_rate
+      round(1e-9 + max(CASE WHEN day = 0 THEN retention_rate END), 6) AS day_0_rate
     FROM rates GROUP BY cohort_date, cohort_size""",
 )
 add(
@@ -177,7 +177,7 @@ add(
     "avg_retention_by_day",
     lambda t: rounded(cohorts.avg_retention_by_day(t.E, t.P), "avg_retention"),
     [P, E],
-    f""", {GRID} SELECT day, round(avg(retention_rate), 6) AS avg_retention FROM rates WHERE day >= 0 GROUP BY day""",
+    f""", {GRID} SELECT day, round(1e-9 + avg(retention_rate), 6) AS avg_retention FROM rates WHERE day >= 0 GROUP BY day""",
 )
 PIVOT = ", ".join(
     f"""CASE WHEN {n} IN (SELECT day FROM seen) THEN max(CASE WHEN day = {n} THEN retention_rate END)
@@ -193,7 +193,7 @@ add(
 )
 DECLINE = " UNION ALL ".join(
     f"""SELECT 'day_{a}_to_{b}' AS step,
-       round(avg((day_{a}_retention - day_{b}_retention) / day_{a}_retention), 6) AS avg_decline
+       round(1e-9 + avg((day_{a}_retention - day_{b}_retention) / day_{a}_retention), 6) AS avg_decline
      FROM perf WHERE day_{a}_retention > 0 AND {a} IN (SELECT day FROM seen) AND {b} IN (SELECT day FROM seen)
      HAVING count(*) > 0"""
     for a, b in ((1, 7), (7, 30))
@@ -226,7 +226,7 @@ add(
         coalesce(a.n, 0)::DOUBLE / (date_diff('day', CAST(p.registration_date AS DATE), DATE '2024-01-30') + 1) AS r
       FROM P p LEFT JOIN a USING (player_id))
     SELECT player_id, registration_date, last_activity_date, days_since_last_activity, total_active_days,
-      round(r, 6) AS avg_events_per_day,
+      round(1e-9 + r, 6) AS avg_events_per_day,
       CASE WHEN last_activity_date IS NULL THEN 'inactive'
         WHEN days_since_last_activity <= 1 THEN CASE WHEN r >= 5 THEN 'highly_active' WHEN r >= 1 THEN 'active' ELSE 'casual' END
         WHEN days_since_last_activity <= 7 THEN 'at_risk' WHEN days_since_last_activity <= 30 THEN 'dormant'
@@ -239,7 +239,7 @@ add(
     [P, E],
     """, r AS (SELECT player_id, sum(purchase_amount) AS rev FROM E WHERE event_type = 'purchase' GROUP BY player_id),
     x AS (SELECT CAST(registration_date AS DATE) AS cohort_date, coalesce(rev, 0) AS rev FROM P LEFT JOIN r USING (player_id))
-    SELECT cohort_date, count(*) AS cohort_size, round(sum(rev), 6) AS total_revenue, round(avg(rev), 6) AS avg_ltv,
+    SELECT cohort_date, count(*) AS cohort_size, round(1e-9 + sum(rev), 6) AS total_revenue, round(1e-9 + avg(rev), 6) AS avg_ltv,
       count(*) FILTER (rev > 0) AS paying_users, count(*) FILTER (rev > 0)::DOUBLE / count(*) AS conversion_rate
     FROM x WHERE EXISTS (SELECT 1 FROM r) GROUP BY cohort_date""",
 )
@@ -252,17 +252,17 @@ add(
            FROM (VALUES (0, 1), (1, 3), (2, 7), (3, 14), (4, 30)) v(i, d) LEFT JOIN m ON m.day = v.d),
     w AS (SELECT *, coalesce((SELECT arg_max(b.a, b.stage_order) FROM st b WHERE b.stage_order < st.stage_order
                               AND b.a IS NOT NULL), 1.0) AS prev FROM st)
-    SELECT stage_order, stage, round(coalesce(a, prev), 6) AS retention_rate,
-      round(coalesce(prev - a, 0.0), 6) AS drop_off_rate, (SELECT count(*) FROM P) AS total_players FROM w""",
+    SELECT stage_order, stage, round(1e-9 + coalesce(a, prev), 6) AS retention_rate,
+      round(1e-9 + coalesce(prev - a, 0.0), 6) AS drop_off_rate, (SELECT count(*) FROM P) AS total_players FROM w""",
 )
 add(
     "seasonal_retention",
     lambda t: rounded(cohorts.seasonal_retention(t.E, t.P), "avg_30_day_retention"),
     [P, E],
     f""", {GRID}, d AS (SELECT cohort_date, retention_rate AS r FROM rates WHERE day = 30)
-    SELECT 'month' AS pattern, month(cohort_date)::INTEGER AS period, round(avg(r), 6) AS avg_30_day_retention FROM d GROUP BY 2
-    UNION ALL SELECT 'day_of_week', (isodow(cohort_date) - 1)::INTEGER, round(avg(r), 6) FROM d GROUP BY 2
-    UNION ALL SELECT 'quarter', quarter(cohort_date)::INTEGER, round(avg(r), 6) FROM d GROUP BY 2""",
+    SELECT 'month' AS pattern, month(cohort_date)::INTEGER AS period, round(1e-9 + avg(r), 6) AS avg_30_day_retention FROM d GROUP BY 2
+    UNION ALL SELECT 'day_of_week', (isodow(cohort_date) - 1)::INTEGER, round(1e-9 + avg(r), 6) FROM d GROUP BY 2
+    UNION ALL SELECT 'quarter', quarter(cohort_date)::INTEGER, round(1e-9 + avg(r), 6) FROM d GROUP BY 2""",
 )
 
 # --- drop-off, segments, activity -----------------------------------------------------------------
@@ -291,8 +291,8 @@ add(
         AND s.start_time >= P.registration_date + INTERVAL 7 DAY AND s.start_time < P.registration_date + INTERVAL 8 DAY)
         THEN 1.0 ELSE 0.0 END AS r7
       FROM P WHERE registration_date BETWEEN TIMESTAMP '{COHORT_START}' AND TIMESTAMP '{COHORT_END}')
-    SELECT segment, count(*) AS player_count, round(avg(total_sessions), 6) AS avg_sessions,
-      round(avg(total_playtime_minutes), 6) AS avg_playtime, round(avg(r7), 6) AS avg_retention_day_7
+    SELECT segment, count(*) AS player_count, round(1e-9 + avg(total_sessions), 6) AS avg_sessions,
+      round(1e-9 + avg(total_playtime_minutes), 6) AS avg_playtime, round(1e-9 + avg(r7), 6) AS avg_retention_day_7
     FROM m GROUP BY segment""",
 )
 add(
@@ -317,20 +317,20 @@ add(
     lambda t: rounded(activity.engagement_timeline(t.E), "avg_session_duration", "sessions_per_user"),
     [E],
     f""", {TIMELINE} SELECT date, dau, (dau * 4.5)::DOUBLE AS wau_est, dau * 15 AS mau_est,
-      round(dur, 6) AS avg_session_duration, round(per, 6) AS sessions_per_user FROM tl""",
+      round(1e-9 + dur, 6) AS avg_session_duration, round(1e-9 + per, 6) AS sessions_per_user FROM tl""",
 )
 add(
     "engagement_product",
     lambda t: rounded(activity.engagement_products(activity.engagement_timeline(t.E)), "engagement_score"),
     [E],
-    f", {TIMELINE} SELECT date, round(dur * per, 6) AS engagement_score FROM tl",
+    f", {TIMELINE} SELECT date, round(1e-9 + dur * per, 6) AS engagement_score FROM tl",
 )
 BY_DAY = "player_id, CAST(timestamp AS DATE) AS date"
-SESSION_METRICS = f"""SELECT {BY_DAY}, count(timestamp) AS session_count, round(avg(session_duration), 6) AS avg_session_duration,
-    round(coalesce(sum(session_duration), 0), 6) AS total_session_duration
+SESSION_METRICS = f"""SELECT {BY_DAY}, count(timestamp) AS session_count, round(1e-9 + avg(session_duration), 6) AS avg_session_duration,
+    round(1e-9 + coalesce(sum(session_duration), 0), 6) AS total_session_duration
     FROM E WHERE event_type = 'session_start' GROUP BY 1, 2"""
 PURCHASE_METRICS = f"""SELECT {BY_DAY}, count(purchase_amount) AS purchase_count,
-    round(coalesce(sum(purchase_amount), 0), 6) AS total_revenue FROM E WHERE event_type = 'purchase' GROUP BY 1, 2"""
+    round(1e-9 + coalesce(sum(purchase_amount), 0), 6) AS total_revenue FROM E WHERE event_type = 'purchase' GROUP BY 1, 2"""
 LEVEL_METRICS = f"""SELECT {BY_DAY}, count(level) AS levels_completed, max(level) AS max_level
     FROM E WHERE event_type = 'level_complete' GROUP BY 1, 2"""
 add(
@@ -404,7 +404,7 @@ add(
     [P, E],
     ", " + MILES + " " + " UNION ALL ".join(
         f"""SELECT cohort, '{name}' AS stage, {i} AS stage_order,
-          round(avg(CASE WHEN {cond} THEN 1.0 ELSE 0.0 END), 6) AS conversion_rate FROM pm GROUP BY cohort"""
+          round(1e-9 + avg(CASE WHEN {cond} THEN 1.0 ELSE 0.0 END), 6) AS conversion_rate FROM pm GROUP BY cohort"""
         for i, (name, cond) in enumerate(
             (("tutorial_complete", "best >= 1"), ("level_5_complete", "best >= 5"),
              ("level_10_complete", "best >= 10"), ("first_purchase", "first_purchase"))
@@ -485,7 +485,7 @@ add(
         quantile_cont(churn_risk_score, 0.75) AS q3 FROM ch GROUP BY segment),
     x AS (SELECT ch.segment, q1, median, q3, churn_risk_score AS v,
         churn_risk_score BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS ok FROM ch JOIN q USING (segment))
-    SELECT segment, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
+    SELECT segment, round(1e-9 + q1, 6) AS q1, round(1e-9 + median, 6) AS median, round(1e-9 + q3, 6) AS q3,
       min(v) FILTER (ok) AS lower_whisker, max(v) FILTER (ok) AS upper_whisker, count(*) FILTER (NOT ok) AS outliers
     FROM x GROUP BY ALL""",
 )
@@ -502,8 +502,8 @@ add(
     lambda t: rounded(churn.churn_summary(churn.churn_table(t.P, AS_OF)), "avg_risk_score", "high_risk_pct"),
     [P],
     """SELECT count(*) AS total_players, count(*) FILTER (churn_risk_score >= 0.7) AS high_risk_players,
-      round(avg(churn_risk_score), 6) AS avg_risk_score,
-      round(count(*) FILTER (churn_risk_score >= 0.7)::DOUBLE / count(*) * 100, 6) AS high_risk_pct FROM P""",
+      round(1e-9 + avg(churn_risk_score), 6) AS avg_risk_score,
+      round(1e-9 + count(*) FILTER (churn_risk_score >= 0.7)::DOUBLE / count(*) * 100, 6) AS high_risk_pct FROM P""",
 )
 add(
     "overview_kpis",
@@ -511,8 +511,8 @@ add(
     [P, E],
     f""", {CHURN}, {TIMELINE}, {FUNNEL}
     SELECT count(*) AS total_players, count(*) FILTER (churn_risk_score >= 0.7) AS high_risk_players,
-      (SELECT round(avg(dau), 6) FROM tl) AS avg_dau,
-      round((SELECT players FROM fu WHERE stage_order = 6)::DOUBLE / (SELECT players FROM fu WHERE stage_order = 0), 6)
+      (SELECT round(1e-9 + avg(dau), 6) FROM tl) AS avg_dau,
+      round(1e-9 + (SELECT players FROM fu WHERE stage_order = 6)::DOUBLE / (SELECT players FROM fu WHERE stage_order = 0), 6)
         AS funnel_conversion
     FROM ch WHERE segment = 'core'""",
 )

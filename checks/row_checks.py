@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.fixture_sql import BR, DE, E, P
 from checks.feature_sql import CF, churn_feature_table
-from checks.registry import add, rounded
+from checks.registry import add, r6, rounded
 from checks.retention_checks import LEVEL_CASE, RISK_CASE, SEGMENT_CASE, SPEND_CASE
 from emberline.functions import columns as col
 from emberline.functions import rules
@@ -59,9 +59,9 @@ add(
 )
 add(
     "player_ltv",
-    lambda t: t.P.select("player_id", F.round(col.player_ltv(), 6).alias("ltv")),
+    lambda t: t.P.select("player_id", r6(col.player_ltv()).alias("ltv")),
     [P],
-    """SELECT player_id, round(CASE WHEN total_purchases <= 0 THEN 0.0
+    """SELECT player_id, round(1e-9 + CASE WHEN total_purchases <= 0 THEN 0.0
       ELSE total_purchases / greatest(0.1::DOUBLE, churn_risk_score) END, 6) AS ltv FROM P""",
 )
 ELAPSED = "floor(epoch(TIMESTAMP '2024-01-30 00:00:00' - {c}) / 86400.0)::INTEGER"
@@ -96,7 +96,7 @@ add(
     "churn_risk_score",
     lambda t: t.BR.select(
         "PlayerID",
-        F.round(
+        r6(
             col.churn_risk_score(
                 F.col("PlayerID") * 11 % 45,
                 "SessionsPerWeek",
@@ -104,12 +104,11 @@ add(
                 "EngagementLevel",
                 "PlayerLevel",
             ),
-            6,
         ).alias("risk"),
     ),
     [BR],
     """, b AS (SELECT *, CASE WHEN "InGamePurchases" = 1 THEN "PlayerID" * 13 % 150 + 0.5 ELSE 0.0 END::DOUBLE AS spent FROM BR)
-    SELECT "PlayerID", round(least(1.0::DOUBLE,
+    SELECT "PlayerID", round(1e-9 + least(1.0::DOUBLE,
         least(("PlayerID" * 11 % 45) / 30.0::DOUBLE, 1.0) * 0.3 + greatest(0.0, 1 - "SessionsPerWeek" / 15.0::DOUBLE) * 0.2
       + CASE WHEN spent = 0 THEN 1.0 ELSE greatest(0.0, 1 - spent / 100.0) END * 0.2
       + CASE "EngagementLevel" WHEN 'High' THEN 0.1 WHEN 'Medium' THEN 0.4 WHEN 'Low' THEN 0.8 ELSE 0.5 END * 0.2
@@ -134,8 +133,8 @@ add(
 # --- churn feature columns ------------------------------------------------------------------------
 
 add("derive_churn_features", lambda t: rounded(churn_feature_table(t), "avg_session_duration_minutes", "purchases_last_30_days"),
-    CF, """SELECT * REPLACE (round(avg_session_duration_minutes, 6) AS avg_session_duration_minutes,
-      round(purchases_last_30_days, 6) AS purchases_last_30_days) FROM CF""")
+    CF, """SELECT * REPLACE (round(1e-9 + avg_session_duration_minutes, 6) AS avg_session_duration_minutes,
+      round(1e-9 + purchases_last_30_days, 6) AS purchases_last_30_days) FROM CF""")
 add(
     "high_churn_flag",
     lambda t: churn_feature_table(t).select("player_id", col.high_churn_flag().alias("flag")),
@@ -146,19 +145,19 @@ add(
 )
 add(
     "engagement_score",
-    lambda t: churn_feature_table(t).select("player_id", F.round(col.engagement_score(), 6).alias("score")),
+    lambda t: churn_feature_table(t).select("player_id", r6(col.engagement_score()).alias("score")),
     CF,
     """, b AS (SELECT *, least(sessions_last_7_days / 7.0::DOUBLE, 1.0) * 0.4 + least(avg_session_duration_minutes / 30, 1.0) * 0.3
         + least(levels_completed_last_week / 10.0::DOUBLE, 1.0) * 0.3 AS s FROM CF)
-    SELECT player_id, round(greatest(0.0, least(1.0, CASE WHEN days_since_last_session > 0
+    SELECT player_id, round(1e-9 + greatest(0.0, least(1.0, CASE WHEN days_since_last_session > 0
       THEN s * (1 - least(days_since_last_session / 7.0::DOUBLE, 1.0)) ELSE s END)), 6) AS score FROM b""",
 )
-SCORES = """, round(greatest(0.0, least(1.0, sessions_last_7_days / 21.0::DOUBLE)), 6) AS session_frequency_score,
-  round(0.6 * greatest(0.0, least(1.0, avg_session_duration_minutes / 120))
+SCORES = """, round(1e-9 + greatest(0.0, least(1.0, sessions_last_7_days / 21.0::DOUBLE)), 6) AS session_frequency_score,
+  round(1e-9 + 0.6 * greatest(0.0, least(1.0, avg_session_duration_minutes / 120))
     + 0.4 * greatest(0.0, least(1.0, levels_completed_last_week / 50.0::DOUBLE)), 6) AS engagement_score,
-  round(greatest(0.0, least(1.0, ln(1 + purchases_last_30_days) / 10)), 6) AS monetary_score,
-  round(greatest(0.0, least(1.0, social_connections / 100.0::DOUBLE)), 6) AS social_score,
-  round(exp(-days_since_last_session / 7.0::DOUBLE), 6) AS recency_score"""
+  round(1e-9 + greatest(0.0, least(1.0, ln(1 + purchases_last_30_days) / 10)), 6) AS monetary_score,
+  round(1e-9 + greatest(0.0, least(1.0, social_connections / 100.0::DOUBLE)), 6) AS social_score,
+  round(1e-9 + exp(-days_since_last_session / 7.0::DOUBLE), 6) AS recency_score"""
 add(
     "ml_scores",
     lambda t: rounded(features.engineer_features(churn_feature_table(t)).select("player_id", *col.model_scores()),
