@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from checks.fixture_sql import E, P, S
 from checks.registry import add, r6, rounded
+from emberline.functions.text import fixed
 from emberline.operators import activity, churn, cohorts, funnels, retention
 from emberline.plans.fixtures import AS_OF, COHORT_END, COHORT_START, DROPOFF_END, DROPOFF_START
 
@@ -138,7 +139,7 @@ def _heatmap(t):
         "cohort_size",
         F.concat_ws(",", F.col("days").cast("array<string>")).alias("days"),
         F.concat_ws(
-            ",", F.transform("rates", lambda r: F.coalesce(F.format_string("%.3f", F.bround(r, 3)), F.lit("-")))
+            ",", F.transform("rates", lambda r: F.coalesce(fixed(r, 3), F.lit("-")))
         ).alias("rates"),
         r6("day_0_rate").alias("day_0_rate"),
     )

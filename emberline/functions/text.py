@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def fixed(value: Column, digits: int) -> Column:
-    """Fixed-point text; ties go to the even digit."""
-    return F.format_string(f"%.{digits}f", F.bround(value.cast("double"), digits))
+    """Fixed-point text; ties go to the even digit, null stays null."""
+    text = F.format_string(f"%.{digits}f", F.bround(value.cast("double"), digits))
+    return F.when(value.isNotNull(), text)
 
 
 def percent(share: Column, digits: int) -> Column:
@@ -17,8 +18,8 @@ def percent(share: Column, digits: int) -> Column:
 
 
 def grouped(count: Column) -> Column:
-    """An integer with thousands separators."""
-    return F.format_string("%,d", count.cast("bigint"))
+    """An integer with thousands separators; null stays null."""
+    return F.when(count.isNotNull(), F.format_string("%,d", count.cast("bigint")))
 
 
 def title(name: Column) -> Column:
