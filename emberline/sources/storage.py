@@ -9,8 +9,20 @@ from pyspark.sql import SparkSession
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A fresh folder under ``spark.checkpoint.dir``, deleted when the session's JVM ends.
+
+    Executors of a cluster do not share local disks, so a session on one must name the shared
+    folder in that setting; only a local session falls back to a temporary folder.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return f"{root.rstrip('/')}/work-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    if not root:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    folder = f"{root.rstrip('/')}/work-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
