@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import re
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberline.llm.common import col, map_batches
@@ -106,44 +106,38 @@ RULES = (
 def _trial(rules: tuple[Rule, ...]):
     def each(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            spent, masks = [0.0] * len(rules), []
             for text in batch.column(0).to_pylist():
-                mask = 0
+                mask, spent = 0, []
                 for i, rule in enumerate(rules):
                     measured = Measured(text)  # afresh, so that each rule pays for what it needs
                     began = time.perf_counter()
                     mask |= rule.rejects(measured) << i
-                    spent[i] += time.perf_counter() - began
-                masks.append(mask)
-            yield pa.RecordBatch.from_pylist(
-                [{"mask": m, "rows": masks.count(m), "spent": [0.0] * len(rules)} for m in set(masks)]
-                + [{"mask": -1, "rows": 0, "spent": spent}],
-                schema=pa.schema([("mask", pa.int64()), ("rows", pa.int64()), ("spent", pa.list_(pa.float64()))]),
-            )
+                    spent.append(time.perf_counter() - began)
+                yield pa.RecordBatch.from_arrays([pa.array([mask]), pa.array([spent])], names=["mask", "spent"])
 
     return each
 
 
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
-    """``rules`` by rejection per cost on a sample of ``sample_rows`` rows of ``docs``.
+    """``rules`` by rejection per cost on the first ``sample_rows`` rows that ``docs`` yields.
 
-    Greedy: the next rule is the one that rejects most, per second, of what is still left. Ties
-    and rules that reject nothing keep their given order, as they do for an empty table.
+    Executors measure as many partitions as that takes, one at first; the driver gets a few
+    numbers a row. Greedy: the next rule is the one that rejects most, per second, of what is
+    still left. Ties and rules that reject nothing keep their given order, as they do for an
+    empty table.
     """
     if len(rules) > 62:
         raise ValueError("at most 62 rules")
-    trial = map_batches(docs.select(col(text)).limit(sample_rows), _trial(rules), "mask long, rows long, spent array<double>")
-    sums = [F.sum(F.col("spent")[i]).alias(f"s{i}") for i in range(len(rules))]
-    found = trial.groupBy("mask").agg(F.sum("rows").alias("rows"), *sums).collect()
-    cost = next(([r[f"s{i}"] for i in range(len(rules))] for r in found if r["mask"] == -1), [1.0] * len(rules))
-    left = {r["mask"]: r["rows"] for r in found if r["mask"] >= 0}
+    trial = map_batches(docs.select(col(text)), _trial(rules), "mask long, spent array<double>").limit(sample_rows).collect()
+    cost = [sum(r["spent"][i] for r in trial) for i in range(len(rules))]
+    left = Counter(r["mask"] for r in trial)
     order, rest = [], list(range(len(rules)))
     while rest:
         gain = {i: sum(n for m, n in left.items() if m >> i & 1) / max(cost[i], 1e-9) for i in rest}
         best = max(rest, key=lambda i: (gain[i], -i))
         order.append(rules[best])
         rest.remove(best)
-        left = {m: n for m, n in left.items() if not m >> best & 1}
+        left = Counter({m: n for m, n in left.items() if not m >> best & 1})
     return tuple(order)
 
 

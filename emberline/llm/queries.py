@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from emberline.llm import exact_dedup, quality_rules, sharding
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from emberline.llm import byte_bpe, exact_dedup, packing, quality_rules, sharding
 from emberline.llm.common import table
 
 
@@ -10,6 +13,17 @@ def op1_sharding(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 16)
 
 
+def op2_byte_bpe(spark, sf_dir):
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents"), ranks)
+    return byte_bpe.decode_documents(encoded, ranks).select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
 
@@ -18,7 +32,11 @@ def op8_quality_rules(spark, sf_dir):
     return quality_rules.measure(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op7_exact_dedup, op8_quality_rules)}
+def op10_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_byte_bpe, op7_exact_dedup, op8_quality_rules, op10_packing)}
 
 SQL = {
     "op7_exact_dedup": """
