@@ -1,9 +1,9 @@
 """Best-fit packing of token pieces into sequences, by exact-complement hashing.
 
 The plan needs only how many pieces there are of each length (at most ``capacity`` numbers, whatever
-the data). It first consumes combinations of two, three or four lengths that fill a sequence
-exactly, looked up by the gap they must fill, as often as the counts allow; what is left is
-packed best-fit. Pieces then find their place by their rank among the pieces of their length.
+the data). It first consumes combinations of a length and one, two or three others that fill a
+sequence exactly, looked up by the gap they must fill, as often as the counts allow; what is left
+is packed best-fit. Pieces then find their place by their rank among the pieces of their length.
 """
 
 from __future__ import annotations
@@ -42,33 +42,37 @@ class _Counts:
         return times > 0
 
 
-def _exact(counts: _Counts, capacity: int) -> None:
-    """Combinations that fill a sequence exactly, from the longest length down.
+def _exact(counts: _Counts, firsts: range, capacity: int, parts: int) -> None:
+    """Combinations of a length of ``firsts`` and up to ``parts`` others that fill a sequence exactly.
 
-    For the gap beside a length: a single length equal to it, then pairs summing to it, then
-    triples. The index of pair sums is the availability table read twice: ``d`` pairs with
-    ``gap - d``. Each taking exhausts a length, or leaves too few of it for the combination.
+    All single complements are consumed before pairs that sum to a gap, and pairs before triples.
+    The index of sums is the availability table read from both ends: ``b`` goes with ``gap - b``.
+    The longer part comes first, which saves short pieces for later. Each taking exhausts a
+    length, or leaves too few of it for the combination.
     """
     left = counts.left
-    for first in range(capacity, 0, -1):
+    for first in firsts:
         gap = capacity - first
         if gap == 0:
             counts.take((first,))
-            continue
-        if gap <= first and left[first]:
+        elif gap <= first and left[first]:
             counts.take((first, gap))
+    for first in firsts if parts > 1 else ():
+        gap = capacity - first
         second = np.arange(min(first, gap - 1), (gap + 1) // 2 - 1, -1)
         if left[first] and len(second):
             for b in second[(left[second] > 0) & (left[gap - second] > 0)].tolist():
                 counts.take((first, b, gap - b))
                 if not left[first]:
                     break
-        if not left[first]:
-            continue
-        for b in range(min(first, gap - 2), 0, -1):
-            rest = gap - b
-            if 3 * b < gap or not left[b] or not left[first]:
+    for first in firsts if parts > 2 else ():
+        gap = capacity - first
+        for b in range(min(first, gap - 2), (gap + 2) // 3 - 1, -1):
+            if not left[first]:
+                break
+            if not left[b]:
                 continue
+            rest = gap - b
             third = np.arange(min(b, rest - 1), (rest + 1) // 2 - 1, -1)
             for c in third[(left[third] > 0) & (left[rest - third] > 0)].tolist():
                 counts.take((first, b, c, rest - c))
@@ -76,8 +80,11 @@ def _exact(counts: _Counts, capacity: int) -> None:
                     break
 
 
-def _best_fit(counts: _Counts, capacity: int) -> None:
-    """What is left, longest first, each into the fullest open sequence that has room."""
+def _best_fit(counts: _Counts, capacity: int, above: int) -> None:
+    """What is left, longest first, each into the fullest open sequence that has room.
+
+    Only lengths over ``above`` open a sequence; others that find no room stay in ``counts``.
+    """
     open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     for length in range(capacity, 0, -1):
         need = int(counts.left[length])
@@ -101,7 +108,9 @@ def _best_fit(counts: _Counts, capacity: int) -> None:
             if waiting:
                 open_.setdefault(gap, []).extend(waiting)
             gap += 1
-        if need:
+        if length <= above:
+            counts.left[length] = need
+        elif need:
             fit = capacity // length
             for used, n in ((fit, need // fit), (need % fit, 1)):
                 if n and used:
@@ -110,11 +119,24 @@ def _best_fit(counts: _Counts, capacity: int) -> None:
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths and how many sequences have each, holding every piece counted once."""
-    state = _Counts({x: n for x, n in counts.items() if n}, capacity)
-    _exact(state, capacity)
-    _best_fit(state, capacity)
-    return state.patterns
+    """Patterns of lengths and how many sequences have each, holding every piece counted once.
+
+    Exact combinations can use up short pieces that best-fit would need elsewhere, so plans with up
+    to three, two and one complements, from either end, are made, and the one with the fewest
+    sequences is taken; of equal ones, that with more complements.
+    """
+    half, best = capacity // 2, None
+    for parts in (3, 2, 1):
+        for longest_first in (True, False):
+            state = _Counts({x: n for x, n in counts.items() if n}, capacity)
+            # no two lengths over half share a sequence, so their gaps are filled before others open any
+            for firsts, above in ((range(capacity, half, -1), half), (range(half, 0, -1), 0)):
+                _exact(state, firsts if longest_first else firsts[::-1], capacity, parts)
+                _best_fit(state, capacity, above)
+            size = sum(n for _, n in state.patterns)
+            if best is None or size < best[0]:
+                best = (size, state.patterns)
+    return best[1]
 
 
 #: Columns of :func:`plan_rows`.

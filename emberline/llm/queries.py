@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from emberline.llm import byte_bpe, exact_dedup, packing, quality_rules, sharding
+from emberline.llm import byte_bpe, exact_dedup, packing, quality_rules, sharding, simhash
 from emberline.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op2_byte_bpe(spark, sf_dir):
     )
 
 
+def op3_simhash(spark, sf_dir):
+    return simhash.mark_near_copies(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op10_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_byte_bpe, op7_exact_dedup, op8_quality_rules, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_byte_bpe, op3_simhash, op7_exact_dedup, op8_quality_rules, op10_packing)}
 
 SQL = {
     "op7_exact_dedup": """
