@@ -52,26 +52,31 @@ def sha256(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
+def with_winner(rows: DataFrame, group: str, rank: Column, counters: int = COUNTERS) -> DataFrame:
+    """``rows`` (a stored table) with ``winner``, the largest ``rank`` of its ``group``, and ``group_size``.
+
+    Frequent groups are settled on the map side from broadcast winners; only the others, each
+    a small share of the rows, are shuffled.
+    """
+    winner, size = F.max(rank), F.count(F.lit(1))
+    hot = F.broadcast(frequent(rows, group, counters).withColumnRenamed("digest", group))
+    winners = F.broadcast(
+        staged(rows.join(hot, group, "left_semi").groupBy(group).agg(winner.alias("winner"), size.alias("group_size")))
+    )
+    same = Window.partitionBy(group)
+    rare = rows.join(winners, group, "left_anti").select("*", winner.over(same).alias("winner"), size.over(same).alias("group_size"))
+    return rows.join(winners, group).select(*rare.columns).unionByName(rare)
+
+
 def _decide(docs: DataFrame, id: str, text: str, normalise: Callable[[Column], Column], counters: int) -> DataFrame:
     rows = staged(
         docs.select(
             col(id).alias("doc_id"), sha256(normalise(col(text))).alias("digest"), F.monotonically_increasing_id().alias("nth")
         )
     )
-    winner, size = F.max(F.struct("doc_id", "nth")), F.count(F.lit(1))
-    hot = F.broadcast(frequent(rows, "digest", counters))
-    winners = F.broadcast(
-        staged(rows.join(hot, "digest", "left_semi").groupBy("digest").agg(winner.alias("winner"), size.alias("group_size")))
-    )
-    same = Window.partitionBy("digest")
-    rare = rows.join(winners, "digest", "left_anti").select("*", winner.over(same).alias("winner"), size.over(same).alias("group_size"))
-    return (
-        rows.join(winners, "digest")
-        .unionByName(rare)
-        .select(
-            "doc_id", F.col("winner.doc_id").alias("keep_id"), "group_size",
-            (F.col("winner.nth") == F.col("nth")).alias("kept"), F.col("digest").alias("text_sha256"),
-        )
+    return with_winner(rows, "digest", F.struct("doc_id", "nth"), counters).select(
+        "doc_id", F.col("winner.doc_id").alias("keep_id"), "group_size",
+        (F.col("winner.nth") == F.col("nth")).alias("kept"), F.col("digest").alias("text_sha256"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from emberline.llm import byte_bpe, exact_dedup, packing, quality_rules, sharding, simhash
+from emberline.llm import byte_bpe, exact_dedup, line_dedup, packing, quality_rules, sharding, simhash, warc
 from emberline.llm.common import table
 
 
@@ -28,6 +28,22 @@ def op3_simhash(spark, sf_dir):
     return simhash.mark_near_copies(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark, sf_dir):
+    return line_dedup.delete_repeated_runs(table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    # the table has no time of capture: one page a second
+    second = F.make_dt_interval(secs=F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(100_000_000)).cast("decimal(18,6)"))
+    date = F.date_format(F.expr("timestamp_ntz'2024-01-01 00:00:00'") + second, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    index = warc.archive_and_index(pages, date)
+    return index.select(
+        F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"), "urlkey",
+    )
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
 
@@ -40,7 +56,7 @@ def op10_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_byte_bpe, op3_simhash, op7_exact_dedup, op8_quality_rules, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_byte_bpe, op3_simhash, op5_line_dedup, op6_warc, op7_exact_dedup, op8_quality_rules, op10_packing)}
 
 SQL = {
     "op7_exact_dedup": """
@@ -48,4 +64,37 @@ SQL = {
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op5_line_dedup": r"""
+        WITH split AS (
+            SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+        ), line AS (
+            SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS pos FROM split
+        ), worded AS (
+            SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM line
+        ), placed AS (
+            SELECT *, coalesce(sum(words) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
+                   sum(words) OVER (PARTITION BY doc_id) AS total
+            FROM worded WHERE words > 0
+        ), windowed AS (
+            SELECT doc_id, pos AS first, before, total, max(pos) OVER frame AS last, list(line) OVER frame AS content
+            FROM placed WINDOW frame AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+        ), ranked AS (
+            SELECT *, first_value(doc_id) OVER same AS origin, first_value(last) OVER same AS origin_last, row_number() OVER same AS nth
+            FROM windowed WHERE before + 50 <= total WINDOW same AS (PARTITION BY content ORDER BY doc_id, first)
+        ), later AS (
+            SELECT doc_id, CASE WHEN doc_id = origin THEN greatest(first, origin_last + 1) ELSE first END AS first, last FROM ranked WHERE nth > 1
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(generate_series(first, last)) AS pos FROM later WHERE first <= last
+        ), island AS (
+            SELECT doc_id, min(pos) AS a, max(pos) AS b
+            FROM (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM gone) GROUP BY doc_id, g
+        ), runs AS (
+            SELECT doc_id, string_agg(a || '-' || b, ',' ORDER BY a) AS runs, sum(b - a + 1)::BIGINT AS n FROM island GROUP BY doc_id
+        ), kept AS (
+            SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM line ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+        )
+        SELECT doc_id, len(lines)::BIGINT AS n_lines, coalesce(n, 0) AS n_removed, coalesce(runs, '') AS runs,
+               CASE WHEN runs IS NULL THEN split.text ELSE coalesce(kept.text, '') END AS text
+        FROM split LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
 }
