@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from emberline.llm import byte_bpe, exact_dedup, line_dedup, packing, quality_rules, sharding, simhash, warc
+from emberline.llm import byte_bpe, exact_dedup, licenses, line_dedup, packing, quality_model, quality_rules, sharding, simhash, warc
 from emberline.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op3_simhash(spark, sf_dir):
     return simhash.mark_near_copies(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark, sf_dir):
+    return quality_model.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_line_dedup(spark, sf_dir):
     return line_dedup.delete_repeated_runs(table(spark, sf_dir, "documents"))
 
@@ -52,11 +56,21 @@ def op8_quality_rules(spark, sf_dir):
     return quality_rules.measure(table(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_byte_bpe, op3_simhash, op5_line_dedup, op6_warc, op7_exact_dedup, op8_quality_rules, op10_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sharding, op2_byte_bpe, op3_simhash, op4_quality_classifier, op5_line_dedup, op6_warc, op7_exact_dedup, op8_quality_rules,
+        op9_licenses, op10_packing,
+    )
+}
 
 SQL = {
     "op7_exact_dedup": """
