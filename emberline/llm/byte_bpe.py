@@ -39,7 +39,7 @@ FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, JOINING, IN_BLANKS, QUOTED, INSIDE = r
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 #: Code points handled at a time.
-WINDOW = 1 << 20
+WINDOW = 1 << 19
 
 
 def _step(state: int, symbol: int) -> tuple[int, bool]:
@@ -157,28 +157,53 @@ def _byte_letters() -> dict[str, int]:
 NEVER = np.int32(2**31 - 1)
 
 
-class ByteBpe:
-    """A byte-level vocabulary: rank lines (base64, number) or a JSON file with vocabulary and merges.
+class TokenTable:
+    """The tokens of a byte-level vocabulary, for decoding.
 
-    Rank lines name no merges: two neighbours merge if their bytes together have a rank. A JSON
-    file's special tokens are single tokens wherever a text has them.
+    The file has rank lines (base64, number) or is JSON with vocabulary and merges.
     """
 
-    #: Limits of the cache: slices, and ids or bytes in them. Beyond one, the cache begins anew.
-    CACHED, HELD = 600_000, 8 << 20
-
     def __init__(self, content: bytes):
         self.special: dict[str, int] = {}
+        self.merges: list[tuple[bytes, bytes]] | None = None
         if content[:1] == b"{":
             model, letters = json.loads(content), _byte_letters()
             read = lambda token: bytes(letters[c] for c in token)
             self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
-            ids = {read(t): i for t, i in model["model"]["vocab"].items() if t not in self.special}
-            pairs = [tuple(map(read, m if isinstance(m, list) else m.split(" "))) for m in model["model"]["merges"]]
-            merges = [(ids[a], ids[b], ids[a + b]) for a, b in pairs]
-            self.whole: dict[bytes, int] = {}
+            self.ids = {read(t): i for t, i in model["model"]["vocab"].items() if t not in self.special}
+            self.merges = [tuple(map(read, m if isinstance(m, list) else m.split(" "))) for m in model["model"]["merges"]]
         else:
-            ids = {base64.b64decode(t): int(i) for t, i in (line.split() for line in content.splitlines() if line)}
+            self.ids = {base64.b64decode(t): int(i) for t, i in (line.split() for line in content.splitlines() if line)}
+        self.vocabulary = max([*self.ids.values(), *self.special.values()]) + 1
+        tokens = [b""] * self.vocabulary
+        for t, i in [*self.ids.items(), *((t.encode(), i) for t, i in self.special.items())]:
+            tokens[i] = t
+        self.lengths = np.array([len(t) for t in tokens], np.int64)
+        self.places, self.blob = np.cumsum(self.lengths) - self.lengths, np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> bytes:
+        """The bytes of ``ids``, each token's put where ``ends`` says it ends."""
+        size = self.lengths[ids]
+        total = int(ends[-1]) if len(ends) else 0
+        if int(size.sum()) != total:
+            raise ValueError("these ends are not of these ids")
+        return self.blob[np.repeat(self.places[ids] - (ends.astype(np.int64) - size), size) + np.arange(total)].tobytes()
+
+
+class ByteBpe(TokenTable):
+    """A byte-level vocabulary with all that encoding needs.
+
+    Rank lines name no merges: two neighbours merge if their bytes together have a rank. A JSON
+    file's special tokens are single tokens wherever a text has them.
+    """
+
+    #: Limits of the cache: slices, and ids in them. Beyond one, the cache begins anew.
+    CACHED, HELD = 250_000, 4 << 20
+
+    def __init__(self, content: bytes):
+        super().__init__(content)
+        ids = self.ids
+        if self.merges is None:
             merges = [
                 (ids[t[:i]], ids[t[i:]], n)
                 for t, n in sorted(ids.items(), key=lambda x: x[1])
@@ -186,9 +211,12 @@ class ByteBpe:
                 if t[:i] in ids and t[i:] in ids
             ]
             self.whole = ids
+        else:
+            merges = [(ids[a], ids[b], ids[a + b]) for a, b in self.merges]
+            self.whole: dict[bytes, int] = {}
+        self.merges = None
         self.slicer = Slicer()
         self.byte_ids = np.array([ids[bytes([b])] for b in range(256)], np.int32)
-        self.vocabulary = max([*ids.values(), *self.special.values()]) + 1
         left, right, made = (np.array(x, np.int64) for x in zip(*merges, strict=True))
         # pairs of rank lines that make the same token are equally urgent
         rank = np.unique(made, return_inverse=True)[1] if self.whole else np.arange(len(made))
@@ -197,13 +225,6 @@ class ByteBpe:
         key = left * self.vocabulary + right
         self.rank_of = dict(zip(key.tolist(), rank.tolist(), strict=True))
         self._fill(key, rank.astype(np.int32))
-        tokens = [b""] * self.vocabulary
-        for t, i in ids.items():
-            tokens[i] = t
-        for t, i in self.special.items():
-            tokens[i] = t.encode()
-        self.tokens, self.lengths = tokens, np.array([len(t) for t in tokens], np.int64)
-        self.places, self.blob = np.cumsum(self.lengths) - self.lengths, np.frombuffer(b"".join(tokens), np.uint8)
         self._forget()
 
     def _forget(self) -> None:
@@ -449,14 +470,6 @@ class ByteBpe:
     def _plain(self, text: str) -> np.ndarray:
         return self._very_long(text) if len(text) > WINDOW else self._ordinary([text])[0]
 
-    def decode(self, ids: np.ndarray, ends: np.ndarray) -> bytes:
-        """The bytes of ``ids``, each token's put where ``ends`` says it ends."""
-        size = self.lengths[ids]
-        total = int(ends[-1]) if len(ends) else 0
-        if int(size.sum()) != total:
-            raise ValueError("these ends are not of these ids")
-        return self.blob[np.repeat(self.places[ids] - (ends.astype(np.int64) - size), size) + np.arange(total)].tobytes()
-
 
 def _between(parts: list, mark: int) -> list:
     return [x for p in parts for x in (mark, p)][1:]
@@ -464,8 +477,8 @@ def _between(parts: list, mark: int) -> list:
 
 # ---------------------------------------------------------------- DataFrames
 
-#: The vocabulary of this Python worker, by its content's digest.
-_LOADED: dict[str, ByteBpe] = {}
+#: What this Python worker has built, by the file's digest and kind.
+_LOADED: dict[tuple[str, type], TokenTable] = {}
 
 
 class Vocabulary:
@@ -477,11 +490,11 @@ class Vocabulary:
         self.digest = hashlib.sha1(content).hexdigest()
         self.content = df.sparkSession.sparkContext.broadcast(content)
 
-    def bpe(self) -> ByteBpe:
-        if self.digest not in _LOADED:
+    def load(self, kind: type = ByteBpe):
+        if (self.digest, kind) not in _LOADED:
             _LOADED.clear()
-            _LOADED[self.digest] = ByteBpe(self.content.value)
-        return _LOADED[self.digest]
+            _LOADED[self.digest, kind] = kind(self.content.value)
+        return _LOADED[self.digest, kind]
 
 
 def binaries(data: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -500,7 +513,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id: str = "doc_id", text:
     known = Vocabulary(docs, vocabulary)
 
     def each(batches: Iterator[pa.RecordBatch]):
-        bpe = known.bpe()
+        bpe = known.load()
         for batch in batches:
             ids, counts = bpe.encode([t or "" for t in batch.column(1).to_pylist()])
             total = np.cumsum(bpe.lengths[ids])
@@ -523,10 +536,10 @@ def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
     ids_at, ends_at = names.index("ids"), names.index("ends")
 
     def each(batches: Iterator[pa.RecordBatch]):
-        bpe = known.bpe()
+        tokens = known.load(TokenTable)
         for batch in batches:
             decoded = [
-                bpe.decode(np.frombuffer(i or b"", "<u4"), np.frombuffer(e or b"", "<u4"))
+                tokens.decode(np.frombuffer(i or b"", "<u4"), np.frombuffer(e or b"", "<u4"))
                 for i, e in zip(batch.column(ids_at).to_pylist(), batch.column(ends_at).to_pylist(), strict=True)
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=names)

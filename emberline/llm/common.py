@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from emberline.sources.storage import work_folder
 
 #: Bytes of one Arrow batch handed to Python, so that very long texts do not pile up in a worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -199,7 +199,7 @@ def tokenise_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int
     known = Vocabulary(docs, vocabulary)
 
     def each(batches: Iterator[pa.RecordBatch]):
-        bpe, part, seen = known.bpe(), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        bpe, part, seen = known.load(), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             ids, counts = bpe.encode([t or "" for t in batch.column(1).to_pylist()])
             ends = np.cumsum(counts)
