@@ -25,7 +25,7 @@ from checks.registry import Tables  # noqa: E402
 from emberline.operators import activity, cohorts, kpi, quality, retention  # noqa: E402
 from emberline.operators.features import engineer_features  # noqa: E402
 from emberline.plans.dashboard import dashboard_tables  # noqa: E402
-from emberline.plans.fixtures import (  # noqa: E402
+from checks.fixtures import (  # noqa: E402
     AS_OF,
     COHORT_END,
     COHORT_START,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from checks.fixture_sql import E, P, S, SOC
 from emberline.operators import features
-from emberline.plans.fixtures import AS_OF
+from checks.fixtures import AS_OF
 
 
 def churn_feature_table(t):

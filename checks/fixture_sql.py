@@ -1,4 +1,4 @@
-"""The fixture views as DuckDB SQL; the same definitions as emberline.plans.fixtures."""
+"""The fixture views as DuckDB SQL; the same definitions as checks.fixtures."""
 
 from __future__ import annotations
 
@@ -25,7 +25,9 @@ P = f"""P AS (
     TIMESTAMP '2024-01-30 00:00:00' AS churn_prediction_date
   FROM (SELECT DISTINCT user_id FROM events))"""
 
-E = f"E AS (SELECT {_MAPPED} FROM events WHERE ts <= {LAST})"
+#: The log, each player's part moved to end at the last activity.
+MOVED = f"(SELECT * REPLACE (ts - (TIMESTAMP '2024-01-31 00:00:00' - {LAST}) AS ts) FROM events)"
+E = f"E AS (SELECT {_MAPPED} FROM {MOVED})"
 
 HE = f"HE AS (SELECT {_MAPPED} FROM events)"
 
@@ -33,7 +35,7 @@ S = f"""S AS (
   SELECT CAST(event_id AS VARCHAR) AS session_id, 'player_' || user_id AS player_id, ts AS start_time,
     ts + to_minutes(CAST(floor(value) AS INTEGER)) AS end_time, CAST(floor(value) AS INTEGER) AS duration_minutes,
     CAST(json_extract_string(props, '$.k') AS INTEGER) % 30 + 1 AS level_reached
-  FROM events WHERE ts <= {LAST} AND event_type IN ('view', 'click'))"""
+  FROM {MOVED} WHERE event_type IN ('view', 'click'))"""
 
 DE = f"""DE AS (
   SELECT CASE WHEN n % 97 = 0 THEN NULL WHEN n % 53 = 0 THEN 'ghost_' || k ELSE player_id END AS player_id,
@@ -41,7 +43,7 @@ DE = f"""DE AS (
     CASE WHEN n % 101 <> 0 THEN event_type END AS event_type, level, purchase_amount,
     CASE WHEN n % 61 = 0 AND session_duration IS NOT NULL THEN -1.0 ELSE session_duration END AS session_duration
   FROM (SELECT {_MAPPED}, event_id AS n, json_extract_string(props, '$.k') AS k
-        FROM events WHERE ts <= {LAST}) b,
+        FROM {MOVED}) b,
        LATERAL (SELECT unnest(range(1, CASE WHEN n % 40 = 0 THEN 3 ELSE 2 END)) AS copy) c)"""
 
 SOC = """SOC AS (SELECT 'player_' || user_id AS player_id, CAST(user_id % 60 AS INTEGER) AS social_connections

@@ -13,7 +13,7 @@ from checks.registry import add, rounded
 from emberline import schemas
 from emberline.functions.times import ts_lit
 from emberline.operators import kpi
-from emberline.plans.fixtures import AS_OF, KPI_END
+from checks.fixtures import AS_OF, KPI_END, KPI_START
 from emberline.plans.reporting import run_daily_reports
 from emberline.sources import readers, sinks
 from emberline.sources.storage import work_folder
@@ -43,7 +43,7 @@ def _write_features(t, folder):
 def _load_profiles(t):
     folder = work_folder(t.spark)
     _write_profiles(t, folder)
-    return readers.load_profiles(t.spark, f"{folder}/player_profiles.json", landing=f"{folder}/landed").clean
+    return readers.load_profiles(t.spark, f"{folder}/player_profiles.json", landing=f"{folder}/landed").clean.select(*[f.name for f in schemas.PROFILES])
 
 
 def _load_events(t):
@@ -137,7 +137,7 @@ add(
     "run_sql",
     lambda t: readers.run_sql(
         t.spark,
-        """SELECT to_date(start_time) AS activity_date, count(DISTINCT player_id) AS dau_count FROM player_sessions
+        """SELECT to_date(start_time) AS activity_date, count(DISTINCT player_id) AS dau_count FROM {player_sessions}
            WHERE to_date(start_time) BETWEEN :start_date AND :end_date GROUP BY 1 ORDER BY 1""",
         {"start_date": dt.date(2024, 1, 3), "end_date": dt.date(2024, 1, 12)},
         {"player_sessions": t.S},
@@ -197,7 +197,7 @@ add(
 
 def _upserted_reports(t):
     folder = work_folder(t.spark)
-    reports = kpi.daily_reports(t.P, t.S, "2024-01-26", KPI_END, kpis=series(t))
+    reports = kpi.daily_reports(t.P, t.S, KPI_START, KPI_END, kpis=series(t))
     sinks.upsert_reports(reports, folder, "2024-01-31 06:00:00")
     sinks.upsert_reports(reports.where("report_date >= '2024-01-29'"), folder, "2024-01-31 09:00:00")
     return readers.read_table(t.spark, folder, "daily_reports").select(
@@ -213,8 +213,7 @@ add(
     "upsert_report",
     _upserted_reports,
     [P, S],
-    f""", {K} SELECT metric_date AS report_date, {LATE} AS generated_at, TIMESTAMP '2024-01-31 06:00:00' AS created_at, mau FROM k
-      WHERE metric_date >= DATE '2024-01-26'""",
+    f""", {K} SELECT metric_date AS report_date, {LATE} AS generated_at, TIMESTAMP '2024-01-31 06:00:00' AS created_at, mau FROM k""",
 )
 
 
@@ -240,6 +239,31 @@ add(
 )
 
 
+def _alerts_of_two_runs(t):
+    """The daily job run twice: what is stored for each alert."""
+    folder = work_folder(t.spark)
+    for as_of in ("2024-01-31 06:00:00", "2024-01-31 07:00:00"):
+        run_daily_reports(t.P, t.S, folder, KPI_START, KPI_END, as_of)
+    stored = readers.read_table(t.spark, folder, "retention_alerts")
+    return stored.groupBy("alert_id").agg(F.count(F.lit(1)).alias("copies"), F.max("created_at").alias("created_at"))
+
+
+def _array_file(t):
+    """Profiles in files of one JSON array each, one record with text where a number belongs."""
+    folder = work_folder(t.spark)
+    bad = F.col("player_id") == "player_0"
+    rows = sinks.with_iso_strings(t.P.select(*[f.name for f in schemas.PROFILES]))
+    record = F.to_json(F.struct(*rows.columns))
+    spoilt = F.regexp_replace(record, '"total_sessions":[0-9]+', '"total_sessions":"many"')
+    rows.select(F.when(bad, spoilt).otherwise(record).alias("record")).groupBy(F.crc32("record") % 3).agg(
+        F.concat(F.lit("["), F.concat_ws(",", F.collect_list("record")), F.lit("]")).alias("value")
+    ).select("value").write.option("maxRecordsPerFile", 1).text(f"{folder}/profiles")
+    return readers.load_profiles(t.spark, f"{folder}/profiles", array_file=True).clean.select("player_id", "total_playtime_minutes")
+
+
+add("load_json_arrays", _array_file, [P], "SELECT player_id, total_playtime_minutes FROM P WHERE player_id <> 'player_0'")
+
+
 def _report_job(t):
     stored = run_daily_reports(t.P, t.S, work_folder(t.spark), "2023-12-22", KPI_END, "2024-01-31 06:00:00")
     return stored.select(
@@ -252,6 +276,13 @@ def _report_job(t):
 
 from checks.kpi_checks import SUMMARY  # noqa: E402
 
+add(
+    "daily_alerts_rerun",
+    _alerts_of_two_runs,
+    [P, S],
+    f""", {K}, {H}, {BASE}, {COMPARED}, {ALERTS} SELECT alert_id, 1::BIGINT AS copies, TIMESTAMP '2024-01-31 06:00:00' AS created_at FROM al""",
+)
+
 add(
     "daily_report_job",
     _report_job,

@@ -15,7 +15,7 @@ from emberline.functions.times import plus_days, ts_lit
 from emberline.ml import churn_model as cm
 from emberline.ml import evaluation, splits
 from emberline.operators.features import engineer_features
-from emberline.plans.fixtures import AS_OF
+from checks.fixtures import AS_OF
 from emberline.sources.storage import work_folder
 
 

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from checks.fixture_sql import DE, E, FJ, HE, P
 from checks.registry import add, rounded
 from emberline.operators import jobs, quality
-from emberline.plans.fixtures import AS_OF
+from checks.fixtures import AS_OF
 
 NOW = "TIMESTAMP '2024-01-30 00:00:00'"
 
 
 def pct(x: str, digits: int = 2) -> str:
-    return f"printf('%.{digits}f', round_even({x} * 100, {digits})) || '%'"
+    return f"format('{{:.{digits}f}}', ({x} * 100)::DOUBLE) || '%'"
 
 
 def rule_sql(ordinal, name, value, threshold, severity, message, source, passed=None, details="NULL") -> str:
@@ -47,7 +47,7 @@ Q4 = counted(6, "invalid_session_durations",
              f"(SELECT count(*) FROM DE WHERE {IN_SESSION} AND (session_duration < 0 OR session_duration > 86400))",
              "sessions with invalid durations", 0.02, "warning", f"(SELECT count(*) FROM DE WHERE {IN_SESSION})")
 Q6 = """SELECT 7 AS ordinal, 'duplicate_player_profiles' AS rule_name, n = 0 AS passed, n::DOUBLE / total AS value, 0.0::DOUBLE AS threshold,
-  'error' AS severity, 'Found ' || n || ' duplicate player profiles (' || printf('%.2f', round_even(n::DOUBLE / total * 100, 2)) || '%)' AS message,
+  'error' AS severity, 'Found ' || n || ' duplicate player profiles (' || format('{{:.2f}}', n::DOUBLE / total * 100) || '%)' AS message,
   CAST(NULL AS VARCHAR) AS details
   FROM (SELECT count(*) AS total, count(*) - (SELECT count(*) FROM (SELECT DISTINCT player_id FROM {p})) AS n FROM {p})"""
 ORPHANS = """(SELECT (SELECT count(*) FROM DE WHERE NOT EXISTS (SELECT 1 FROM P WHERE P.player_id = DE.player_id)) AS n,
@@ -72,7 +72,7 @@ def volume_sql(source: str) -> str:
 def spike_sql(source: str) -> str:
     return rule_sql(
         10, "hourly_event_volume_spike", "r", 5.0, "warning",
-        "'Hourly volume spike of ' || printf('%.1f', round_even(r, 1)) || 'x average detected'",
+        "'Hourly volume spike of ' || format('{:.1f}', r) || 'x average detected'",
         f"(SELECT max(c)::DOUBLE / avg(c) AS r FROM (SELECT count(*) AS c FROM {source} GROUP BY hour(timestamp)) HAVING count(*) > 1)",
     )
 

@@ -6,9 +6,9 @@ from checks.fixture_sql import E, P, S
 from checks.registry import add, r6, rounded
 from emberline.functions.text import fixed
 from emberline.operators import activity, churn, cohorts, funnels, retention
-from emberline.plans.fixtures import AS_OF, COHORT_END, COHORT_START, DROPOFF_END, DROPOFF_START
+from checks.fixtures import AS_OF, COHORT_END, COHORT_START, DROPOFF_END, DROPOFF_START
 
-# --- elapsed-time retention, written the way a row store would: three active sets -----------------
+# --- elapsed-time retention ------------------------------------------------------------------------
 
 SEGMENT_CASE = """CASE WHEN total_sessions >= 20 AND total_playtime_minutes >= 1200 THEN 'High Engagement'
   WHEN total_sessions >= 10 AND total_playtime_minutes >= 600 THEN 'Medium Engagement'
@@ -16,23 +16,17 @@ SEGMENT_CASE = """CASE WHEN total_sessions >= 20 AND total_playtime_minutes >= 1
   ELSE 'Minimal Engagement' END"""
 
 
-def three_set_retention(cohorts_where: str, segment: str) -> str:
-    def active(n: int) -> str:
-        return f"""d{n} AS (SELECT DISTINCT c.cohort_date, c.player_id FROM cohorts c JOIN S s ON c.player_id = s.player_id
-          WHERE s.start_time BETWEEN c.registration_date + INTERVAL {n} DAY AND c.registration_date + INTERVAL {n + 1} DAY)"""
-
-    return f""", cohorts AS (
-      SELECT CAST(registration_date AS DATE) AS cohort_date, player_id, registration_date FROM P WHERE {cohorts_where}),
-    sizes AS (SELECT cohort_date, count(*) AS cohort_size FROM cohorts GROUP BY cohort_date),
-    {active(1)}, {active(7)}, {active(30)}
-    SELECT z.cohort_date,
-      count(DISTINCT d1.player_id)::DOUBLE / z.cohort_size AS day_1_retention,
-      count(DISTINCT d7.player_id)::DOUBLE / z.cohort_size AS day_7_retention,
-      count(DISTINCT d30.player_id)::DOUBLE / z.cohort_size AS day_30_retention,
-      z.cohort_size, CAST({segment} AS VARCHAR) AS segment
-    FROM sizes z LEFT JOIN d1 ON z.cohort_date = d1.cohort_date LEFT JOIN d7 ON z.cohort_date = d7.cohort_date
-      LEFT JOIN d30 ON z.cohort_date = d30.cohort_date
-    GROUP BY z.cohort_date, z.cohort_size ORDER BY z.cohort_date"""
+def elapsed_retention(members: str, segment: str) -> str:
+    """Each member once, with a flag per retention day that any session's age can raise."""
+    day = 86_400_000_000
+    flags = ", ".join(
+        f"coalesce(bool_or(epoch_us(s.start_time) - epoch_us(m.since) BETWEEN {n * day} AND {(n + 1) * day}), false) AS kept_{n}"
+        for n in (1, 7, 30)
+    )
+    rates = ", ".join(f"count(*) FILTER (kept_{n})::DOUBLE / count(*) AS day_{n}_retention" for n in (1, 7, 30))
+    return f""", m AS (SELECT player_id, registration_date AS since FROM P WHERE {members}),
+    kept AS (SELECT m.player_id, any_value(m.since) AS since, {flags} FROM m LEFT JOIN S s USING (player_id) GROUP BY m.player_id)
+    SELECT since::DATE AS cohort_date, {rates}, count(*) AS cohort_size, CAST({segment} AS VARCHAR) AS segment FROM kept GROUP BY 1"""
 
 
 IN_WINDOW = f"CAST(registration_date AS DATE) BETWEEN DATE '{COHORT_START}' AND DATE '{COHORT_END}'"
@@ -41,13 +35,13 @@ add(
     "cohort_retention",
     lambda t: retention.cohort_retention(t.P, t.S, COHORT_START, COHORT_END, "all"),
     [P, S],
-    three_set_retention(IN_WINDOW, "'all'"),
+    elapsed_retention(IN_WINDOW, "'all'"),
 )
 add(
     "retention_by_segment",
     lambda t: retention.retention_by_segment(t.P, t.S, COHORT_START, COHORT_END, "High Engagement"),
     [P, S],
-    three_set_retention(f"{IN_WINDOW} AND {SEGMENT_CASE} = 'High Engagement'", "'High Engagement'"),
+    elapsed_retention(f"{IN_WINDOW} AND {SEGMENT_CASE} = 'High Engagement'", "'High Engagement'"),
 )
 
 
@@ -150,7 +144,7 @@ add(
     _heatmap,
     [P, E],
     f""", {GRID} SELECT cohort_date, cohort_size, string_agg(CAST(day AS VARCHAR), ',' ORDER BY day) AS days,
-      string_agg(coalesce(printf('%.3f', round_even(retention_rate, 3)), '-'), ',' ORDER BY day) AS rates,
+      string_agg(coalesce(format('{{:.3f}}', retention_rate), '-'), ',' ORDER BY day) AS rates,
       round(1e-9 + max(CASE WHEN day = 0 THEN retention_rate END), 6) AS day_0_rate
     FROM rates GROUP BY cohort_date, cohort_size""",
 )
@@ -272,14 +266,14 @@ add(
     "level_dropoff",
     lambda t: activity.level_dropoff(t.P, t.S, DROPOFF_START, DROPOFF_END, 50),
     [P, S],
-    f""", lp AS (SELECT s.level_reached AS level, count(DISTINCT s.player_id) AS n FROM S s JOIN P p USING (player_id)
-      WHERE s.start_time BETWEEN TIMESTAMP '{DROPOFF_START}' AND TIMESTAMP '{DROPOFF_END}' AND s.level_reached <= 50 GROUP BY 1),
-    lc AS (SELECT s.level_reached AS level, count(DISTINCT s.player_id) AS n FROM S s JOIN P p USING (player_id)
-      WHERE s.start_time BETWEEN TIMESTAMP '{DROPOFF_START}' AND TIMESTAMP '{DROPOFF_END}' AND s.level_reached <= 50
-        AND EXISTS (SELECT 1 FROM S s2 WHERE s2.player_id = s.player_id AND s2.level_reached > s.level_reached) GROUP BY 1)
-    SELECT lp.level, lp.n AS players_reached, coalesce(lc.n, 0) AS players_completed,
-      (lp.n - coalesce(lc.n, 0))::DOUBLE / lp.n AS drop_off_rate, coalesce(lc.n, 0)::DOUBLE / lp.n AS completion_rate
-    FROM lp LEFT JOIN lc USING (level)""",
+    f""", top AS (SELECT player_id, max(level_reached) AS best FROM S GROUP BY player_id),
+    hit AS (SELECT DISTINCT player_id, level_reached AS level FROM S
+      WHERE start_time >= TIMESTAMP '{DROPOFF_START}' AND start_time <= TIMESTAMP '{DROPOFF_END}' AND level_reached <= 50
+        AND player_id IN (SELECT player_id FROM P)),
+    tally AS (SELECT level, count(*) AS players_reached, count(*) FILTER (best > level) AS players_completed
+      FROM hit JOIN top USING (player_id) GROUP BY level)
+    SELECT *, (players_reached - players_completed)::DOUBLE / players_reached AS drop_off_rate,
+      players_completed::DOUBLE / players_reached AS completion_rate FROM tally""",
 )
 add(
     "behavior_segments",

@@ -11,7 +11,7 @@ from checks.retention_checks import LEVEL_CASE, RISK_CASE, SEGMENT_CASE, SPEND_C
 from emberline.functions import columns as col
 from emberline.functions import rules
 from emberline.operators import activity, cohorts, features, retention
-from emberline.plans.fixtures import AS_OF
+from checks.fixtures import AS_OF
 
 # --- event columns --------------------------------------------------------------------------------
 
@@ -200,7 +200,7 @@ add(
 )
 SHIFTED = """SELECT player_id, registration_date, total_sessions - 3 AS total_sessions, total_playtime_minutes - 100
   AS total_playtime_minutes, churn_risk_score * 1.1 - 0.05 AS churn_risk_score,
-  last_active_date - INTERVAL 10 DAY AS last_active_date FROM P"""
+  last_active_date - INTERVAL 10 DAY AS last_active_date, highest_level_reached, total_purchases FROM P"""
 
 
 def _shifted_profiles(t):
@@ -214,6 +214,9 @@ def _shifted_profiles(t):
         (F.col("total_playtime_minutes") - 100).alias("total_playtime_minutes"),
         (F.col("churn_risk_score") * 1.1 - 0.05).alias("churn_risk_score"),
         plus_days(F.col("last_active_date"), -10).alias("last_active_date"),
+        F.when(F.col("highest_level_reached") % 7 != 0, F.col("highest_level_reached")).alias("highest_level_reached"),
+        F.when(F.col("total_purchases") < 80, F.col("total_purchases")).alias("total_purchases"),
+        F.when(F.dayofmonth("registration_date") != 3, F.col("churn_prediction_date")).alias("churn_prediction_date"),
     )
 
 
@@ -224,6 +227,7 @@ add(
     f""", q AS ({SHIFTED}) SELECT player_id, """
     + reasons_sql(
         {
+            "missing_field": "highest_level_reached % 7 = 0 OR total_purchases >= 80 OR day(registration_date) = 3",
             "risk_out_of_range": "churn_risk_score < 0 OR churn_risk_score > 1",
             "negative_sessions": "total_sessions < 0",
             "negative_playtime": "total_playtime_minutes < 0",

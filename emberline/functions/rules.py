@@ -73,6 +73,9 @@ def profile_rules() -> dict[str, Column]:
         | F.col("last_active_date").isNull()
         | F.col("total_sessions").isNull()
         | F.col("total_playtime_minutes").isNull()
+        | F.col("highest_level_reached").isNull()
+        | F.col("total_purchases").isNull()
+        | F.col("churn_prediction_date").isNull()
         | risk.isNull(),
         "risk_out_of_range": (risk < 0) | (risk > 1),
         "negative_sessions": F.col("total_sessions") < 0,
@@ -131,9 +134,3 @@ def cohort_record_rules() -> dict[str, Column]:
         "cohort_size_negative": F.col("cohort_size").isNull() | (F.col("cohort_size") < 0),
         "period_negative": F.col("period").isNull() | (F.col("period") < 0),
     }
-
-
-def segment_rules(column: str = "segment") -> dict[str, Column]:
-    from emberline.functions.columns import normalize_segment
-
-    return {"unknown_segment": normalize_segment(column).isNull()}

@@ -149,6 +149,20 @@ def _contributions(
     return rows.select(F.inline(F.array(*structs))).where(F.col("metric_date").isNotNull() & (F.col("amount") > 0))
 
 
+def _sessions_that_matter(wanted: set[str], first: dt.date, last: dt.date, churn_lookback: int) -> Column:
+    """A pushable range of ``start_time`` outside of which no session changes a KPI from ``first`` to ``last``.
+
+    A last session before the lower bound makes a player churned from ``first`` on at the latest,
+    as no session does. Churn needs the very last session and so has no upper bound; else
+    weeks end within six days after ``last`` and the longest retention window 32 days after it.
+    """
+    matters = F.col("start_time") >= ts_lit(first - dt.timedelta(days=churn_lookback + 1))
+    if "churn_rate" not in wanted:
+        ahead = max(RETENTION_DAYS) + 2 if wanted & {f"day_{n}_retention" for n in RETENTION_DAYS} else 7
+        matters &= F.col("start_time") < ts_lit(last + dt.timedelta(days=ahead + 1))
+    return matters
+
+
 def kpi_series(
     profiles: DataFrame,
     sessions: DataFrame,
@@ -165,7 +179,13 @@ def kpi_series(
     lead_in = min(first.replace(day=1), first - dt.timedelta(days=COHORT_DAYS))
     activity_only = wanted <= {"dau", "wau", "mau", "total_active_players"}
     profiles_only = wanted <= {"new_registrations"}
-    timeline = _player_timeline(None if activity_only else profiles, None if profiles_only else sessions)
+    reachable = sessions.where(_sessions_that_matter(wanted, lead_in, last, churn_lookback))
+    people = profiles
+    if profiles_only:
+        people = profiles.where(
+            (F.col("registration_date") >= ts_lit(lead_in)) & (F.col("registration_date") < ts_lit(last + dt.timedelta(days=1)))
+        )
+    timeline = _player_timeline(None if activity_only else people, None if profiles_only else reachable)
     facts = _contributions(timeline, wanted, lead_in, churn_lookback, inclusive_week_end)
     spine = calendar(profiles.sparkSession, lead_in, last).select(
         "metric_date", F.lit("calendar").alias("part"), F.lit(0).cast("bigint").alias("amount")

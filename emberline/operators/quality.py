@@ -110,18 +110,24 @@ _MISSING = {
 }
 
 
-def _measures(events: DataFrame, as_of: When | None, copies: Column) -> dict[str, Column]:
-    """Sums over event rows (or over collapsed rows weighted by ``copies``)."""
+def _repeated(rows: DataFrame) -> Column:
+    """How many rows repeat an earlier one, as a scalar. Only a 128-bit digest of each row is shuffled.
+
+    The digest is taken over the rows' text, in which nulls, separators and quotes are written apart.
+    """
+    whole = F.md5(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}))
+    alike = rows.groupBy(whole.alias("digest")).agg(F.count(F.lit(1)).alias("copies"))
+    return alike.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("repeated")).scalar()
+
+
+def _measures(events: DataFrame, as_of: When | None) -> dict[str, Column]:
+    """Sums over event rows."""
 
     def total_where(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, copies)), F.lit(0))
+        return F.count_if(F.coalesce(condition, F.lit(False)))
 
     in_session = F.col("event_type").isin(*SESSION_TYPES)
-    measures = {
-        "total": F.coalesce(F.sum(copies), F.lit(0)),
-        "duplicates": F.coalesce(F.sum(copies - 1), F.lit(0)),
-        "sessions": total_where(in_session),
-    }
+    measures = {"total": F.count(F.lit(1)), "sessions": total_where(in_session)}
     for _, column in _MISSING.values():
         measures[f"no_{column}"] = total_where(F.col(column).isNull())
     if as_of is not None:
@@ -174,17 +180,13 @@ def event_checks(
 ) -> DataFrame:
     """The event suite in one pass.
 
-    With the duplicate check on, events are collapsed to distinct rows with a
-    copy count (on the map side first) and every other check is a weighted sum
-    over those; without it the checks are plain sums and nothing but one row is
-    shuffled. An empty input yields only the ``empty_dataset`` row.
+    All checks but one are plain sums of which nothing but one row is shuffled; the duplicate
+    check shuffles a digest per row. An empty input yields only the ``empty_dataset`` row.
     """
     names = EVENT_CHECKS if names is None else names
-    data, copies = events, F.lit(1)
+    measured = events.agg(*[m.alias(n) for n, m in _measures(events, as_of).items()])
     if "duplicate_events" in names and config.active("duplicate_events"):
-        data = events.groupBy(*events.columns).agg(F.count(F.lit(1)).alias("copies"))
-        copies = F.col("copies")
-    measured = data.agg(*[m.alias(n) for n, m in _measures(events, as_of, copies).items()])
+        measured = measured.withColumn("duplicates", _repeated(events))
     rows = _result_rows(config, names, "session_duration" in events.columns)
     empty = _empty_row("empty_dataset", "critical", "Events dataset is empty")
     results = F.when(F.col("total") == 0, F.array(empty))
@@ -372,14 +374,12 @@ def quality_report(checks: DataFrame) -> DataFrame:
 
 def profile_summary(events: DataFrame, profiles: DataFrame, as_of: When) -> DataFrame:
     """One row of ingestion statistics with the list of issues found."""
-    distinct_rows = events.groupBy(*events.columns).agg(F.count(F.lit(1)).alias("copies"))
-    sums = distinct_rows.agg(
-        F.coalesce(F.sum("copies"), F.lit(0)).alias("total_events"),
+    sums = events.agg(
+        F.count(F.lit(1)).alias("total_events"),
         F.min("timestamp").alias("first_event"),
         F.max("timestamp").alias("last_event"),
-        F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_events"),
-        F.coalesce(F.sum(F.when(F.col("timestamp") > ts_lit(as_of), F.col("copies"))), F.lit(0)).alias("future_events"),
-    )
+        F.count_if(F.coalesce(F.col("timestamp") > ts_lit(as_of), F.lit(False))).alias("future_events"),
+    ).withColumn("duplicate_events", _repeated(events))
     sides = (
         events.select("player_id", F.lit(1).alias("e"), F.lit(0).alias("p"))
         .unionByName(profiles.select("player_id", F.lit(0).alias("e"), F.lit(1).alias("p")))

@@ -34,15 +34,27 @@ class Loaded:
 
 
 def _read_json(spark: SparkSession, path: str, schema: T.StructType, array_file: bool) -> DataFrame:
-    """Instants are read as text and cast afterwards, so a bad one becomes null instead of failing."""
+    """One row per record, parsed whole from its text, so that what counts as corrupt does not depend
+    on the columns somebody reads later.
+
+    Instants are read as text and cast afterwards, so a bad one becomes null instead of failing.
+    """
     instants = {f.name: f.dataType for f in schema if isinstance(f.dataType, (T.TimestampNTZType, T.DateType))}
     fields = [T.StructField(f.name, T.StringType() if f.name in instants else f.dataType) for f in schema]
-    raw = (
-        spark.read.schema(T.StructType([*fields, T.StructField(CORRUPT, T.StringType())]))
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("multiLine", array_file)
-        .json(path)
+    text = spark.read.option("wholetext", array_file).text(path)
+    if array_file:
+        # a file that is no array is one corrupt record
+        records = text.select(
+            F.explode_outer(F.from_json("value", T.ArrayType(T.StringType()))).alias("record"), F.from_json("value", T.ArrayType(T.StringType())).isNull().alias("broken"),
+        ).where("broken or record is not null")
+    else:
+        records = text.where(F.trim("value") != "").select(F.col("value").alias("record"))
+    parsed = F.from_json(
+        "record", T.StructType([*fields, T.StructField(CORRUPT, T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    )
+    raw = records.select("record", parsed.alias("parsed")).select(
+        *[F.col("parsed")[f.name].alias(f.name) for f in fields],
+        F.coalesce(F.col("parsed")[CORRUPT], F.when(F.col("parsed").isNull() | F.col("record").isNull(), F.coalesce("record", F.lit("")))).alias(CORRUPT),
     )
     return raw.withColumns({n: F.col(n).try_cast(t) for n, t in instants.items()})
 
@@ -54,7 +66,7 @@ def _gated(
 
     With a ``landing`` folder the text is parsed once: the checked rows are
     written there as Parquet, and all later work reads the columns it needs.
-    Without one the text is parsed again by every use.
+    Without one the text is parsed again by every use, with the same outcome.
     """
     checked = rules.with_reasons(df, {"corrupt_record": F.col(CORRUPT).isNotNull(), **rule_set})
     if landing is not None:
@@ -68,7 +80,7 @@ def _gated(
     clean, bad = rules.split(checked)
     share = sums["bad"] / sums["total"] if sums["total"] else 0.0
     if share > limit:
-        raise LoadError(f"Too many {what} validation errors ({share:.1%}): {sorted(sums['examples'])[:5]}")
+        raise LoadError(f"{share:.1%} of the {what} records are bad, over {limit:.0%}: {sorted(sums['examples'])[:5]}")
     return Loaded(clean.drop(CORRUPT), bad, share)
 
 
@@ -80,7 +92,7 @@ def load_profiles(
     The default is JSON Lines, which splits across tasks. ``array_file`` reads
     files that hold one JSON array each; such a file is one task's work.
     """
-    raw = _read_json(spark, path, schemas.PROFILES, array_file)
+    raw = _read_json(spark, path, T.StructType([*schemas.PROFILES, *schemas.PROFILE_EXTRAS]), array_file)
     return _gated(raw, rules.profile_rules(), MAX_BAD_PROFILES, "profile", landing)
 
 
@@ -97,7 +109,7 @@ def load_events(
         .collect()  # at most one row per critical rule
     )
     if failed:
-        raise LoadError(f"Critical data quality issues: {[r.message for r in failed]}")
+        raise LoadError(f"failed critical checks of the events: {[r.message for r in failed]}")
     return loaded
 
 
@@ -126,10 +138,20 @@ def load_all(
 
 
 def read_behavior_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The columns used of the behaviour CSV, matched to the header by name."""
+    """The columns used of the behaviour CSV, matched to the header by name.
+
+    All files of a folder must have the same header: one with other columns or another order, or
+    a value that is not of its column's type, is an error.
+    """
     schema = schemas.BEHAVIOR_CSV
-    raw = spark.read.option("header", True).csv(path)
-    return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema])
+    names = spark.read.option("header", True).csv(path).columns
+    absent = [f.name for f in schema if f.name not in names]
+    if absent:
+        raise LoadError(f"the behaviour file lacks {absent}")
+    text = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    # column pruning would leave the headers of later files unchecked
+    raw = spark.read.schema(text).option("header", True).option("enforceSchema", False).option("columnPruning", False).csv(path)
+    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -177,10 +199,11 @@ def read_jdbc(
 def run_sql(
     spark: SparkSession, query: str, params: dict | None = None, tables: Mapping[str, DataFrame] | None = None
 ) -> DataFrame:
-    """SQL with ``:name`` parameters over the given tables."""
-    for name, df in (tables or {}).items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(query, args=params or {})
+    """SQL with ``:name`` parameters over the given tables, which the query names as ``{name}``.
+
+    The session's own views are neither seen under these names nor changed.
+    """
+    return spark.sql(query, args=params or {}, **(tables or {}))
 
 
 def sample_players(df: DataFrame, n: int, seed: int = 42, key: str = "player_id") -> DataFrame:

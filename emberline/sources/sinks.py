@@ -56,11 +56,13 @@ def stamped(df: DataFrame, existing: DataFrame, keys: list[str], as_of: When) ->
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: str | None) -> DataFrame:
-    """One row per key: the greatest ``order`` value, or any when rows are already unique."""
-    if order is None:
-        return df.dropDuplicates(keys)
+    """One row per key: the greatest ``order`` value. Without an order, a repeated key is an error."""
     rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("row"))
+    if order is None:
+        once = F.when(F.count(F.lit(1)) == 1, F.first(F.struct(*rest)))
+        picked = df.groupBy(*keys).agg(F.coalesce(once, F.raise_error(F.lit(f"repeated {', '.join(keys)} without an order"))).alias("row"))
+    else:
+        picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("row"))
     return picked.select(*keys, *[F.col(f"row.{c}").alias(c) for c in rest])
 
 
@@ -90,12 +92,12 @@ def upsert(
 
 
 def insert_if_absent(
-    df: DataFrame, root: str, name: str, keys: list[str], partition_by: str, as_of: When
+    df: DataFrame, root: str, name: str, keys: list[str], partition_by: str, as_of: When, order: str | None = None
 ) -> None:
-    """Insert only rows whose keys are new; existing rows stay as they are."""
+    """Insert only rows whose keys are new, each once; existing rows stay as they are."""
     schema = schemas.TABLES[name]
     existing = read_table(df.sparkSession, root, name)
-    new = df.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
+    new = latest_per_key(df, keys, order).join(existing.select(*keys), keys, "left_anti")
     now = ts_lit(as_of)
     rows = new.withColumns({"created_at": now, "updated_at": now})
     (
@@ -113,7 +115,12 @@ def upsert_metrics(kpis: DataFrame, root: str, as_of: When) -> None:
 
 
 def append_alerts(alert_rows: DataFrame, root: str, as_of: When) -> None:
-    """Append alerts, unresolved; no rows write no files."""
+    """Append alerts, unresolved; stored ids stay as they are, and no new ids write no files.
+
+    Ids follow from metric and date, so a job that runs again stores no alert twice.
+    """
+    stored = read_table(alert_rows.sparkSession, root, "retention_alerts").select("alert_id")
+    alert_rows = alert_rows.join(stored, "alert_id", "left_anti")
     now = ts_lit(as_of)
     blank = {
         "resolved_at": F.lit(None),

@@ -49,6 +49,8 @@ def make(spark):
                     "total_playtime_minutes": 0,
                     "total_purchases": 0.0,
                     "churn_risk_score": 0.0,
+                    "highest_level_reached": 1,
+                    "churn_prediction_date": r.get("registration_date"),
                     "last_active_date": r.get("registration_date"),
                 }
                 | r

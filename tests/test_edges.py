@@ -127,7 +127,7 @@ def test_profile_loader_gate(spark, tmp_path):
     landed = readers.load_profiles(spark, lines, landing=str(tmp_path / "landed"))
     assert landed.bad_share == 0.05 and landed.quarantine.first().reasons == ["risk_out_of_range"]
     assert landed.clean.exceptAll(loaded.clean).count() == 0 and landed.clean.count() == 19
-    with pytest.raises(readers.LoadError, match="Too many profile validation errors"):
+    with pytest.raises(readers.LoadError, match="of the profile records are bad"):
         readers.load_profiles(spark, _write(tmp_path, "bad.json", json.dumps(bad)))
 
 
@@ -147,7 +147,7 @@ def test_event_loader_gates(spark, tmp_path):
     path = _write(tmp_path, "e.json", "\n".join(map(json.dumps, [*good, event(event_type="dance")])))
     assert readers.load_events(spark, path, NOW).clean.count() == 24
     nested = [event(purchase_amount=None, event_data={"amount": 5})]
-    with pytest.raises(readers.LoadError, match="event validation"):
+    with pytest.raises(readers.LoadError, match="of the event records are bad"):
         readers.load_events(spark, _write(tmp_path, "n.json", "\n".join(map(json.dumps, [*good[:5], *nested]))), NOW)
     with pytest.raises(readers.LoadError, match="Critical data quality"):
         readers.load_events(spark, _write(tmp_path, "none.json", ""), NOW)
@@ -205,14 +205,19 @@ def test_report_job_can_run_again(spark, tmp_path, make):
     assert history.count() == 18
 
 
-def test_work_folder_honours_the_shared_folder():
-    """The setting is fixed when a session starts, hence the stand-in for one."""
+def test_work_folder_is_shared_and_ends_with_the_session(spark, tmp_path, monkeypatch):
+    """The settings are fixed when a session starts, hence the stand-in for one."""
 
     class Session:
-        conf = {"spark.checkpoint.dir": "hdfs://shared/checkpoints/"}
-
-    assert work_folder(Session()).startswith("hdfs://shared/checkpoints/work-")
-    Session.conf = {}
+        conf = {"spark.checkpoint.dir": f"file://{tmp_path}/checkpoints/", "spark.master": "spark://host:7077"}
+        sparkContext = spark.sparkContext
+
+    folder = work_folder(Session())
+    assert folder.startswith(f"file://{tmp_path}/checkpoints/work-") and (tmp_path / "checkpoints").exists()
+    Session.conf = {"spark.master": "spark://host:7077"}
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work_folder(Session())
+    Session.conf = {"spark.master": "local[4]"}
     assert work_folder(Session()).startswith("/tmp/run-")
 
 
