@@ -10,6 +10,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberline.sources.storage import work_folder
 
@@ -51,7 +52,16 @@ def map_batches(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterab
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(2**31 - 1))) > 64 << 20:
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(each, schema)
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if not any("." in name for name in [*df.columns, *schema.names]):
+        return df.mapInArrow(each, schema)
+    # names with dots would be read as paths, so columns go by number through Python
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema)])
+
+    def numbered(batches):
+        return (b.rename_columns(plain.names) for b in each(batches))
+
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(numbered, plain).toDF(*schema.names)
 
 
 def col(name: str) -> Column:
