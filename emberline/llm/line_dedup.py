@@ -109,7 +109,8 @@ def delete_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id: str =
         {k: f"of_{k}" for k in NAME}
     )
     full = docs.select(*[e.alias(k) for k, e in _named(docs, id, text).items()], col(text).alias("text"))
-    joined = full.join(found, full["doc_id"].eqNullSafe(found["of_doc_id"]) & (full["body"] == found["of_body"]), "left")
+    # texts are shuffled to the few runs at every size; only the runs are hashed
+    joined = full.join(found.hint("shuffle_hash"), full["doc_id"].eqNullSafe(found["of_doc_id"]) & (full["body"] == found["of_body"]), "left")
     lines = _split(F.col("text"))
     stays = lambda line, i: ~F.exists("cuts", lambda r: (r["first"] <= i) & (i <= r["last"]))
     sizes = F.aggregate("cuts", F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
