@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -28,13 +26,14 @@ def data(t: Tables):
     return cm.training_data(churn_feature_table(t), labels(t))
 
 
-@lru_cache(maxsize=4)
-def _trained(spark, sf_dir: str):
-    return cm.train_models(data(Tables(spark, sf_dir)), cv_folds=2, grids=cm.QUICK_GRIDS)
+def searched(t: Tables):
+    """A full search of five folds, on grids of two small values in each dimension."""
+    return cm.train_models(data(t), grids=cm.SMALL_GRIDS)
 
 
 def trained(t: Tables):
-    return _trained(t.spark, t.sf_dir)
+    """Some fitted model, scored over five folds."""
+    return cm.train_models(data(t), grids={"random_forest": cm.POINT_GRIDS["random_forest"]})
 
 
 RAW = ", ".join(f"round(1e-9 + {c}::DOUBLE, 6) AS {c}" for c in cm.RAW_FEATURES)
@@ -89,35 +88,72 @@ add(
 )
 
 
+def in_range(column):
+    return F.coalesce(F.col(column).between(0.0, 1.0), F.lit(False))
+
+
+METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc", "cv_score")
+
+
 def _training_report(t: Tables):
-    model = trained(t)
-    rows = [
-        (name, name == model.name, *[float(m[k]) for k in ("accuracy", "precision", "recall", "f1", "roc_auc", "cv_score")])
-        for name, m in model.metrics.items()
-    ]
-    return t.spark.createDataFrame(
-        rows,
-        "model string, is_best boolean, accuracy double, precision double, recall double, f1 double, roc_auc double, cv_score double",
+    """What must hold of each model: metrics in [0, 1], a useful AUC, and one best model among all."""
+    model = searched(t)
+    rows = [(name, name == model.name, *[float(m[k]) for k in METRICS]) for name, m in model.metrics.items()]
+    report = t.spark.createDataFrame(rows, "model string, is_best boolean, " + ", ".join(f"{m} double" for m in METRICS))
+    best = report.agg(F.count_if("is_best")).scalar()
+    ranged = F.array(*[in_range(m) for m in METRICS])
+    return report.select(
+        "model", F.forall(ranged, lambda x: x).alias("metrics_in_range"), (F.col("roc_auc") >= 0.7).alias("useful"), best.alias("best_models")
     )
 
 
-add("train_models", _training_report)
+add(
+    "train_models", _training_report, [P],
+    """SELECT unnest(['random_forest', 'gradient_boosting']) AS model, true AS metrics_in_range, true AS useful, 1::BIGINT AS best_models""",
+)
 add(
     "cross_validate",
     lambda t: t.spark.createDataFrame(
-        sorted(cm.cross_validate(trained(t), data(t), 3).items()), "metric string, value double"
+        sorted(cm.cross_validate(trained(t), data(t)).items()), "metric string, value double"
+    ).select("metric", in_range("value").alias("in_range")),
+    [P],
+    """SELECT m || s AS metric, true AS in_range FROM (SELECT unnest(['accuracy', 'precision', 'recall', 'f1', 'roc_auc']) AS m),
+      (SELECT unnest(['_mean', '_std']) AS s)""",
+)
+add(
+    "predict_proba",
+    lambda t: trained(t).predict_proba(churn_feature_table(t)).select("player_id", in_range("churn_probability").alias("in_range")),
+    [P],
+    "SELECT player_id, true AS in_range FROM P",
+)
+add(
+    "predict_label",
+    lambda t: trained(t).predict(churn_feature_table(t)).select(
+        "player_id", (F.col("will_churn") == (F.col("churn_probability") > 0.5)).alias("follows_probability")
     ),
+    [P],
+    "SELECT player_id, true AS follows_probability FROM P",
+)
+add(
+    "model_accuracy_gate",
+    lambda t: evaluation.accuracy_gate(
+        trained(t).predict(churn_feature_table(t)).join(labels(t), "player_id").select(
+            F.col("churned").cast("double").alias("label"), F.col("will_churn").cast("double").alias("prediction"),
+            F.col("churn_probability").alias("probability"),
+        )
+    ).select("meets_threshold"),
+    [P],
+    "SELECT true AS meets_threshold",
 )
-add("predict_proba", lambda t: trained(t).predict_proba(churn_feature_table(t)))
-add("predict_label", lambda t: trained(t).predict_label(churn_feature_table(t)))
 
 
 def _saved(t: Tables):
+    """The inputs of the stored model in their order, and its kind of stages."""
     folder = work_folder(t.spark)
     trained(t).save(folder)
-    note = t.spark.read.text(f"{folder}/note")
-    names = F.from_json("value", "name string, feature_columns array<string>")["feature_columns"]
-    return note.select(F.posexplode(names).alias("position", "feature"))
+    stages = cm.ChurnModel.load(folder).pipeline.stages
+    kinds = ",".join(type(s).__name__ for s in stages[:-1])
+    return t.spark.createDataFrame([(i, c, kinds) for i, c in enumerate(stages[0].getInputCols())], "position int, feature string, stages string")
 
 
 def _reloaded(t: Tables):
@@ -133,7 +169,11 @@ def _reloaded(t: Tables):
     return pairs.select("player_id", (F.col("churn_probability") == F.col("reloaded")).alias("equal"))
 
 
-add("save_model", _saved)
+add(
+    "save_model", _saved, [P],
+    f"""SELECT unnest(range({len(cm.FEATURE_COLUMNS)}))::INTEGER AS position, unnest({list(cm.FEATURE_COLUMNS)}) AS feature,
+      'VectorAssembler,StandardScalerModel,ElementwiseProduct' AS stages""",
+)
 add("load_model", _reloaded, [P], "SELECT player_id, true AS equal FROM P")
 
 
@@ -175,10 +215,10 @@ add(
 )
 add(
     "accuracy_gate",
-    lambda t: evaluation.accuracy_gate(scored(t), 0.4),
+    lambda t: evaluation.accuracy_gate(scored(t)),
     [P],
     f""", {SCORED} SELECT (tp + tn)::DOUBLE / (tp + tn + fp + fn) AS accuracy,
-      (tp + tn)::DOUBLE / (tp + tn + fp + fn) >= 0.4 AS meets_threshold FROM cf""",
+      (tp + tn)::DOUBLE / (tp + tn + fp + fn) >= 0.8 AS meets_threshold FROM cf""",
 )
 add(
     "engineer_features",

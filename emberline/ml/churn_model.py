@@ -33,17 +33,20 @@ SCORE_FEATURES = (
 FEATURE_COLUMNS = (*RAW_FEATURES, *SCORE_FEATURES)
 SEED = 42
 MIN_ROWS = 10
+ROWS_PER_PARTITION = 50_000
 
 # The hyper-parameter grids. An unlimited depth is MLlib's maximum of 30.
 GRIDS = {
     "random_forest": {"numTrees": [100, 200], "maxDepth": [10, 20, 30], "minInstancesPerNode": [1, 2]},
     "gradient_boosting": {"maxIter": [100, 200], "maxDepth": [3, 5, 7], "stepSize": [0.1, 0.2]},
 }
-#: One-point grids for quick runs.
-QUICK_GRIDS = {
-    "random_forest": {"numTrees": [20], "maxDepth": [5]},
-    "gradient_boosting": {"maxIter": [5], "maxDepth": [3]},
+#: Small values in every dimension of the same search.
+SMALL_GRIDS = {
+    "random_forest": {"numTrees": [5, 10], "maxDepth": [2, 4], "minInstancesPerNode": [1, 2]},
+    "gradient_boosting": {"maxIter": [2, 4], "maxDepth": [2, 3], "stepSize": [0.1, 0.2]},
 }
+#: One point of each, for what only needs some fitted model.
+POINT_GRIDS = {name: {p: values[:1] for p, values in grid.items()} for name, grid in SMALL_GRIDS.items()}
 
 
 def training_data(churn_features: DataFrame, labels: DataFrame) -> DataFrame:
@@ -59,9 +62,9 @@ def training_data(churn_features: DataFrame, labels: DataFrame) -> DataFrame:
     )
     counts = sides.agg(F.sum("f").alias("features"), F.sum("l").alias("labels")).first()
     if not counts["features"]:
-        raise ValueError("Training data cannot be empty")
+        raise ValueError("there is nothing to train on")
     if counts["features"] != counts["labels"]:
-        raise ValueError("churn_features and labels must have same length")
+        raise ValueError("every player with features needs exactly one label")
     return rows
 
 
@@ -132,7 +135,7 @@ class ChurnModel:
     def load(path: str) -> ChurnModel:
         note = json.loads(SparkSession.active().read.text(f"{path}/note").first()["value"])
         if tuple(note["feature_columns"]) != FEATURE_COLUMNS:
-            logger.warning("Feature columns mismatch between saved model and current feature columns")
+            logger.warning("the stored model was fitted on other columns")
         return ChurnModel(
             PipelineModel.load(f"{path}/pipeline"), note["name"], {}, note["params"], tuple(note["feature_columns"])
         )
@@ -169,12 +172,14 @@ def train_models(
     try:
         rows = split.count()
         if rows < MIN_ROWS:
-            raise ValueError(f"Need at least {MIN_ROWS} samples for training")
+            raise ValueError(f"training needs {MIN_ROWS} players or more")
         train = split.where(~F.col("is_test"))
         preprocessing = fit_preprocessing(train)
         wanted = ["label", "features"]
-        folded = preprocessing.transform(stratified_folds(train, cv_folds)).select(*wanted, "fold").persist()
-        test = preprocessing.transform(split.where("is_test")).select(*wanted).persist()
+        # a fit is a series of short jobs, which many small partitions only slow down
+        parts = rows // ROWS_PER_PARTITION + 1
+        folded = preprocessing.transform(stratified_folds(train, cv_folds)).select(*wanted, "fold").coalesce(parts).persist()
+        test = preprocessing.transform(split.where("is_test")).select(*wanted).coalesce(parts).persist()
         results, best = {}, None
         for name, points in grids.items():
             classifier = _classifier(name)
@@ -203,7 +208,8 @@ def train_models(
 def cross_validate(model: ChurnModel, data: DataFrame, cv_folds: int = 5) -> dict[str, float]:
     """Mean and deviation of five metrics over stratified folds, refitting the chosen model."""
     preprocessing = PipelineModel(model.pipeline.stages[:-1])
-    folded = preprocessing.transform(stratified_folds(data, cv_folds)).select("label", "features", "fold").persist()
+    folded = preprocessing.transform(stratified_folds(data, cv_folds)).select("label", "features", "fold")
+    folded = folded.coalesce(data.count() // ROWS_PER_PARTITION + 1).persist()
     scores: dict[str, list[float]] = {}
     try:
         for fold in range(cv_folds):

@@ -270,7 +270,7 @@ def test_training_needs_rows(make):
     X, y = _labelled(make, 8)
     with pytest.raises(ValueError, match="at least 10"):
         cm.train_models(cm.training_data(X, y))
-    with pytest.raises(ValueError, match="same length"):
+    with pytest.raises(ValueError, match="exactly one label"):
         cm.training_data(X, y.limit(3))
     with pytest.raises(ValueError, match="empty"):
         cm.training_data(make.CF([]), y)
