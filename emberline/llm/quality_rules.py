@@ -26,6 +26,7 @@ SYMBOLS = b"#*$%&|<>"
 #: Bytes that begin no code point of a word: white space, and the later bytes of a code point.
 NOT_COUNTED = WHITE + bytes(range(0x80, 0xC0))
 _WORD = re.compile(rb"[^\x20\x09-\x0D]")
+_BLANKS = re.compile(r"[\x20\x09-\x0D]+")
 #: Rows of the sample that the order of the rules is taken from.
 SAMPLE_ROWS = 2000
 
@@ -79,7 +80,7 @@ class Measured:
     @cached_property
     def shouting(self) -> int:
         """Words of two or more letters without a lower-case one."""
-        return sum(len(w) > 1 and w.isupper() for w in self.text.split())
+        return sum(len(w) > 1 and w.isupper() for w in _BLANKS.split(self.text))
 
 
 @dataclass(frozen=True)

@@ -44,7 +44,7 @@ def op6_warc(spark, sf_dir):
     index = warc.archive_and_index(pages, date)
     return index.select(
         F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
-        F.col("refers_to").cast("long").alias("refers_to"), "urlkey",
+        F.col("refers_to").cast("long").alias("refers_to"),
     )
 
 
@@ -111,4 +111,32 @@ SQL = {
                CASE WHEN runs IS NULL THEN split.text ELSE coalesce(kept.text, '') END AS text
         FROM split LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
     """,
+    "op6_warc": """
+        WITH body AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+        sized AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
+            max(page_id) OVER (PARTITION BY html) AS top FROM body)
+        SELECT page_id, payload_bytes, payload_digest,
+          CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to FROM sized
+    """,
+    "op8_quality_rules": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+        word AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+        gram AS (SELECT doc_id, i, struct_pack(a := word, b := lead(word, 1) OVER o, c := lead(word, 2) OVER o) AS g, lead(i, 2) OVER o AS stop
+          FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        again AS (SELECT doc_id, i FROM gram WHERE stop IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+        repeated AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) FROM again) GROUP BY doc_id),
+        line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+        lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dup FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+        loud AS (SELECT doc_id, count(*) AS n FROM word WHERE length(word) > 1 AND word = upper(word) AND word <> lower(word) GROUP BY doc_id),
+        m AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines,
+          coalesce(repeated.n, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(loud.n, 0) AS shouting
+          FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id) LEFT JOIN loud USING (doc_id)),
+        b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+          NOT (base_failed OR 10 * n_symbols > n_words OR NOT word_chars BETWEEN 2 * n_words AND 15 * n_words
+            OR (n_dup_lines > 2 AND 2 * n_dup_lines > n_lines) OR 100 * shouting > 50 * n_words) AS kept FROM b
+    """,
 }
