@@ -149,7 +149,7 @@ def test_event_loader_gates(spark, tmp_path):
     nested = [event(purchase_amount=None, event_data={"amount": 5})]
     with pytest.raises(readers.LoadError, match="of the event records are bad"):
         readers.load_events(spark, _write(tmp_path, "n.json", "\n".join(map(json.dumps, [*good[:5], *nested]))), NOW)
-    with pytest.raises(readers.LoadError, match="Critical data quality"):
+    with pytest.raises(readers.LoadError, match="failed critical checks"):
         readers.load_events(spark, _write(tmp_path, "none.json", ""), NOW)
 
 
@@ -268,11 +268,11 @@ def test_model_quality_and_storage(spark, make, tmp_path):
 
 def test_training_needs_rows(make):
     X, y = _labelled(make, 8)
-    with pytest.raises(ValueError, match="at least 10"):
+    with pytest.raises(ValueError, match="10 players or more"):
         cm.train_models(cm.training_data(X, y))
     with pytest.raises(ValueError, match="exactly one label"):
         cm.training_data(X, y.limit(3))
-    with pytest.raises(ValueError, match="empty"):
+    with pytest.raises(ValueError, match="nothing to train"):
         cm.training_data(make.CF([]), y)
 
 

@@ -109,7 +109,7 @@ def test_duplicates_shuffle_a_digest_only(spark, make):
     assert found.value == 0.5
     plan = quality.duplicates(events, "2024-01-01 00:00:00")._jdf.queryExecution().executedPlan().toString()
     keys = [line for line in plan.splitlines() if "hashpartitioning(" in line]
-    assert keys and all("digest" in k and "player_id" not in k for k in keys)
+    assert len(keys) == 1 and not any(name in keys[0] for name in events.columns)
 
 
 def test_a_behaviour_file_with_another_header_is_an_error(spark, tmp_path):
@@ -117,7 +117,7 @@ def test_a_behaviour_file_with_another_header_is_an_error(spark, tmp_path):
     (tmp_path / "a.csv").write_text(",".join(names) + "\n1,High,2,3,0,5\n")
     assert readers.read_behavior_csv(spark, str(tmp_path)).first().EngagementLevel == "High"
     (tmp_path / "b.csv").write_text(",".join(reversed(names)) + "\n5,0,3,2,High,1\n")
-    with pytest.raises(PySparkException):
+    with pytest.raises(Exception, match="CSV header does not conform"):
         readers.read_behavior_csv(spark, str(tmp_path)).collect()
     (tmp_path / "b.csv").unlink()
     (tmp_path / "a.csv").write_text(",".join(names) + "\nx,High,2,3,0,5\n")
