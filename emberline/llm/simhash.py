@@ -195,11 +195,14 @@ def _decide(docs: DataFrame, radius: int, shingle: int, id: str, text: str, copi
     labels = connected_components(edges).withColumnRenamed("node", "fp")
     linked = classes.join(labels, "fp")
     smallest = linked.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = linked.join(smallest, "label").select("fp", "component_id")
-    alone = classes.where("n > 1").join(labels, "fp", "left_anti").select("fp", F.col("first").alias("component_id"))
+    named = linked.join(smallest, "label").select("fp", "component_id", "label")
+    alone = classes.where("n > 1").join(labels, "fp", "left_anti").select("fp", F.col("first").alias("component_id"), F.col("fp").alias("label"))
     found = staged(named.unionByName(alone)).withColumn("met", F.lit(True))
     # a fingerprint of one row that links to nothing is its own component, and needs no row here
-    return rows.join(found, "fp", "left").withColumn("component_id", F.when(F.col("met"), F.col("component_id")).otherwise(F.col("doc_id"))).drop("met")
+    return rows.join(found, "fp", "left").select(
+        *rows.columns, F.when(F.col("met"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.coalesce("label", "fp").alias("label"),
+    )
 
 
 def mark_near_copies(docs: DataFrame, radius: int = 2, shingle: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -217,7 +220,8 @@ def mark_near_copies(docs: DataFrame, radius: int = 2, shingle: int = 3, id: str
 def drop_near_copies(docs: DataFrame, radius: int = 2, shingle: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Of each component of :func:`mark_near_copies` one row of ``docs`` with the smallest id, with its own columns."""
     decided = staged(_decide(docs, radius, shingle, id, text, True))
-    kept = decided.where("doc_id <=> component_id").groupBy("component_id").agg(
+    # ids may be null or repeat, so a component goes by its label, a fingerprint
+    kept = decided.where("doc_id <=> component_id").groupBy("label").agg(
         F.min(F.struct("doc_id", "digest")).alias("key"), F.count(F.lit(1)).alias("n")
     )
     kept = staged(kept.select("key.doc_id", "key.digest", "n"))

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 from emberline.llm import components, exact_dedup, line_dedup, queries, simhash
-from tests.llm.conftest import ROWS, SF_DIR, documents
+from tests.llm.conftest import LONG, PROSE, ROWS, SF_DIR, documents
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -107,6 +107,17 @@ def test_near_rows_that_stay(messy):
     assert simhash.drop_near_copies(messy.limit(0)).count() == 0
 
 
+def test_near_rows_without_an_id_of_their_own_stay(spark):
+    other = "The harbour master counted nine grey ships before noon and wrote each name into a narrow ledger."
+    third = "Seventy kilometres of copper wire lay coiled behind the workshop until spring came."
+    rows = [(None, PROSE), (None, PROSE), (None, other), (None, third), (5, PROSE + " x1"), (5, other + " x2"), (5, third + " x3"), (6, LONG)]
+    points = [slow_fingerprint(t) for _, t in rows]
+    labels = slow_components(points, points, 2)
+    kept = [(r["doc_id"], r["text"]) for r in simhash.drop_near_copies(documents(spark, rows)).collect()]
+    assert len(set(labels)) == 7 and len(kept) == 7
+    assert sorted(labels[rows.index(r)] for r in kept) == sorted(set(labels))
+
+
 @pytest.mark.parametrize(("leaf", "block"), [(16, 24), (64, 4096)])
 def test_tree_loses_no_link(spark, rng, monkeypatch, leaf, block):
     monkeypatch.setattr(simhash, "LEAF", leaf)
