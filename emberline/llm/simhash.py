@@ -32,17 +32,25 @@ SAMPLE, ONE_IN = 1 << 18, 16
 # ---------------------------------------------------------------- fingerprints
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """64 bits. Words are runs of other than ASCII white space, A-Z in lower case; no word: 0."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of all runs of ``shingle`` words, or of all words if they are fewer.
+
+    Words are runs of other than ASCII white space, A-Z in lower case.
+    """
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, size = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
     wide = min(shingle, len(words)) - 1
     begins, ends = (ends - size)[: len(words) - wide].tolist(), ends[wide:].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(begins, ends, strict=True)), np.uint64, len(ends))
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(begins, ends, strict=True)), np.uint64, len(ends))
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """64 bits, the votes of :func:`shingle_hashes`; no word: 0."""
+    hashes = shingle_hashes(text, shingle)
     votes = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 14):
         some = hashes[i : i + (1 << 14)]
@@ -188,11 +196,11 @@ def links(classes: DataFrame, radius: int) -> DataFrame:
 # ---------------------------------------------------------------- documents
 
 
-def _decide(docs: DataFrame, radius: int, shingle: int, id: str, text: str, copies: bool) -> DataFrame:
-    rows = staged(fingerprints(docs, shingle, id, text, copies))
-    classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
-    edges = staged(links(classes, radius))
-    labels = connected_components(edges).withColumnRenamed("node", "fp")
+def settle(rows: DataFrame, labels: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """``rows`` (doc_id, fp, ...) with the component_id and label of their component; ``labels`` has the linked ``fp``."""
+    if classes is None:
+        classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    labels = labels.withColumnRenamed("node", "fp")
     linked = classes.join(labels, "fp")
     smallest = linked.groupBy("label").agg(F.min("first").alias("component_id"))
     named = linked.join(smallest, "label").select("fp", "component_id", "label")
@@ -205,6 +213,13 @@ def _decide(docs: DataFrame, radius: int, shingle: int, id: str, text: str, copi
     )
 
 
+def _decide(docs: DataFrame, radius: int, shingle: int, id: str, text: str, copies: bool) -> DataFrame:
+    rows = staged(fingerprints(docs, shingle, id, text, copies))
+    classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    edges = staged(links(classes, radius))
+    return settle(rows, connected_components(edges), classes)
+
+
 def mark_near_copies(docs: DataFrame, radius: int = 2, shingle: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, fingerprint (16 hex digits), component_id.
 
@@ -217,11 +232,10 @@ def mark_near_copies(docs: DataFrame, radius: int = 2, shingle: int = 3, id: str
     return decided.select(F.col("doc_id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, radius: int = 2, shingle: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of each component of :func:`mark_near_copies` one row of ``docs`` with the smallest id, with its own columns."""
-    decided = staged(_decide(docs, radius, shingle, id, text, True))
+def one_of_each(docs: DataFrame, decided: DataFrame, id: str, text: str) -> DataFrame:
+    """Of each label of ``decided`` (doc_id, digest, component_id, label) one row of ``docs`` with the smallest id."""
     # ids may be null or repeat, so a component goes by its label, a fingerprint
-    kept = decided.where("doc_id <=> component_id").groupBy("label").agg(
+    kept = staged(decided).where("doc_id <=> component_id").groupBy("label").agg(
         F.min(F.struct("doc_id", "digest")).alias("key"), F.count(F.lit(1)).alias("n")
     )
     kept = staged(kept.select("key.doc_id", "key.digest", "n"))
@@ -229,3 +243,8 @@ def drop_near_copies(docs: DataFrame, radius: int = 2, shingle: int = 3, id: str
     return keep_listed(
         docs, {"doc_id": col(id), "digest": sha256(col(text))}, kept.select(*keys).distinct(), kept.where("n > 1").select(*keys)
     )
+
+
+def drop_near_copies(docs: DataFrame, radius: int = 2, shingle: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of each component of :func:`mark_near_copies` one row of ``docs`` with the smallest id, with its own columns."""
+    return one_of_each(docs, _decide(docs, radius, shingle, id, text, True), id, text)

@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from emberline.llm import components, exact_dedup, line_dedup, queries, simhash
+import corpus_pipeline
+from emberline.llm import components, exact_dedup, line_dedup, queries, shingles, simhash
 from tests.llm.conftest import LONG, PROSE, ROWS, SF_DIR, documents
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -142,6 +143,58 @@ def test_tree_prunes(rng):
     assert sum(n * n for n in sizes.values()) < len(sample) ** 2 / 3 and len(who) < 5 * len(sample)
 
 
+def slow_similar(texts, k=5):
+    """For each text the first text that links of Jaccard similarity 0.8 reach."""
+    sets = []
+    for t in texts:
+        words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set())
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+def check_similar(rows, given):
+    label = slow_similar([t for _, t in given])
+    smallest = {}
+    for x, (i, _) in zip(label, given, strict=True):
+        if x not in smallest or smallest[x] is None or (i is not None and i < smallest[x]):
+            smallest[x] = i
+    texts = {}
+    for x, (i, t) in zip(label, given, strict=True):
+        texts.setdefault((i, t), x)
+    assert Counter((texts[r["doc_id"], r["text"]], r["doc_id"]) for r in rows) == Counter(smallest.items())
+
+
+def test_similar_rows_that_stay(messy):
+    kept = shingles.drop_similar(messy)
+    assert kept.columns == messy.columns
+    check_similar(kept.collect(), ROWS)
+    assert shingles.drop_similar(messy.limit(0)).count() == 0
+
+
+def test_near_stage_drops_what_is_similar_and_no_more(spark, rng):
+    """Edited copies on both sides of 0.8, chains and a group without a common centre; null and repeated ids."""
+    rows, base = [], None
+    for n in range(240):
+        if n % 8 == 0 or base is None:
+            base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice((60, 120, 300)))]
+        words = list(base)
+        for _ in range(rng.randrange(0, len(words) // 16)):
+            words[rng.randrange(len(words))] = f"v{rng.randrange(10**6)}"
+        base = words if n % 3 == 0 else base
+        rows.append((None if n % 7 == 0 else n % 200, " ".join(words)))
+    given = sorted(set(rows), key=rows.index)
+    kept = corpus_pipeline.near_stage(spark, documents(spark, given), SF_DIR).collect()
+    check_similar(kept, given)
+    points = [slow_fingerprint(t) for _, t in given]
+    assert 40 < len(kept) < len(set(slow_components(points, points, 2)))
+
+
 def slow_runs(given, least):
     """Lines that later repeated runs cover, by (id, text)."""
     docs = sorted({(i, t or "") for i, t in given}, key=lambda d: order(d[0]))
