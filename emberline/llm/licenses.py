@@ -108,16 +108,32 @@ RULES = (
 ANCHORS = ("licen", "permission", "copyright", "warrant", "redistribut", "reserved", "domain", "mit", "gpl", "cc0", "cc by", "cc-by", "mpl")
 
 _OTHER = re.compile(r"[^a-z0-9+]+")
-#: A sentence ends at such a mark before white space, or at a blank line. Lines are tried by themselves as well.
-_END = re.compile(r"[.!?;](?=\s)|\n\s*\n")
+#: A piece ends at such a mark before white space, or with its line. A sentence is a run of pieces.
+_END = re.compile(r"[.!?;](?=\s)")
+#: White space and comment marks in front of a piece.
+_LEADER = re.compile(r"(?:\s|//+|/\*+|\*+/?|#+|--+|;+|%+|<!--|(?i:rem|dnl)\b)*")
+_LINE = re.compile("\n")
+_MARKS = ("rem", "dnl")
+#: Lists by letters and the letter o as a bullet.
+_ITEM = re.compile(r"[^a-z0-9+]*(?:(?:rem|dnl)\b[^a-z0-9+]*)?(?:[a-z]\)|o)\s", re.IGNORECASE)
 
 
-def normalise(sentence: str) -> str:
-    """Lower case, words only, one spelling of licence, no numbering or comment marks."""
-    words = _OTHER.sub(" ", sentence.lower()).replace("licence", "license").replace("licenced", "licensed").split()
-    while words and (words[0].isdigit() or words[0] in ("rem", "dnl")):
+def _words(line: str) -> list[str]:
+    """Words of a line or a piece of one: lower case, one spelling of licence, no comment mark in front."""
+    words = _OTHER.sub(" ", _ITEM.sub("", line.lower(), 1) if _ITEM.match(line) else line.lower()).replace("licence", "license").split()
+    while words and words[0] in _MARKS:
         words.pop(0)
-    return " ".join(words)
+    return words
+
+
+def _unnumbered(words: list[str]) -> list[str]:
+    first = next((i for i, w in enumerate(words) if not w.isdigit() and w not in _MARKS), len(words))
+    return words[first:]
+
+
+def normalise(sentence: str) -> str:
+    """Lower case, words only, one spelling of licence, no numbering in front and no comment marks."""
+    return " ".join(_unnumbered([w for line in sentence.split("\n") for w in _words(line)]))
 
 
 @dataclass(frozen=True)
@@ -140,21 +156,39 @@ class Scanner:
             self.known.setdefault(normalise(f"SPDX-License-Identifier: {spdx}"), grant)
             rules.append(Rule(spdx, (grant,)))
         assert all(any(a.replace("-", " ") in k for a in ANCHORS) for k in self.known)
+        self.longest = max(len(k.split()) for k in self.known)
+        self.first = {k.split()[0] for k in self.known}
         self.rules: dict[str, list[Rule]] = {}
         for rule in sorted(rules, key=lambda r: -len(r.sentences)):
             self.rules.setdefault(rule.sentences[0], []).append(rule)
 
     def sentences(self, text: str) -> list[tuple[int, int, str]]:
-        """Begin, end and identifier of the known sentences, in order."""
+        """Begin, end and identifier of the known sentences, in order; from each place the longest, none inside another.
+
+        A sentence may begin and end at any line or stop, so comment marks, headings above and lists below do no harm.
+        """
         low = text.lower()
         if not any(a in low for a in ANCHORS):
             return []
-        found = {}
-        for a, b in [*_spans(text, _END), *((a + x, a + y) for a, b in _spans(text, re.compile("\n")) for x, y in _spans(text[a:b], _END))]:
-            if name := self.known.get(normalise(text[a:b])):
-                begin = a + len(text[a:b]) - len(text[a:b].lstrip())
-                found.setdefault((begin, name), (begin, b, name))
-        return sorted(found.values())
+        found, pieces = [], _pieces(text)
+        at = 0
+        while at < len(pieces):
+            begin, words = pieces[at][0], _unnumbered(pieces[at][2])
+            best = None
+            if words and words[0] in self.first:
+                for nth in range(at, len(pieces)):
+                    if nth > at:
+                        words = words + pieces[nth][2]
+                    # a line without words ends a paragraph
+                    if not pieces[nth][2] or len(words) > self.longest:
+                        break
+                    if name := self.known.get(" ".join(words)):
+                        best = (nth, (begin, pieces[nth][1], name))
+            if best:
+                at = best[0]
+                found.append(best[1])
+            at += 1
+        return found
 
     def matches(self, text: str) -> list[tuple[int, int, Rule]]:
         """Begin, end and rule of each match; of those that share a sentence the longest, then the first."""
@@ -187,6 +221,16 @@ def _spans(text: str, mark: re.Pattern) -> Iterator[tuple[int, int]]:
     yield at, len(text)
 
 
+def _pieces(text: str) -> list[tuple[int, int, list[str]]]:
+    """Begin, end and words of the pieces of each line; a line without words is one piece."""
+    out = []
+    for a, b in _spans(text, _LINE):
+        line = [(a + x, a + y, _words(text[a + x : a + y])) for x, y in _spans(text[a:b], _END)]
+        worded = [(_LEADER.match(text, x, y).end(), y, words) for x, y, words in line if words]
+        out += worded or [(a, b, [])]
+    return out
+
+
 MATCH = T.StructType(
     [
         T.StructField("license", T.StringType()),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -146,6 +147,25 @@ def test_licence_rules():
     assert names("He said the MIT License is short and licensed under the stars.") == []
 
 
+def test_licence_headers_in_comments_and_lists():
+    """Headers as source files have them: commented, wrapped, with bullets or numbers directly below."""
+    grant, source, binary, endorse = (licenses.SENTENCES[k] for k in ("bsd.grant", "bsd.source", "bsd.binary", "bsd.names"))
+    isc = licenses.SENTENCES["isc.grant"] + "."
+    for bullets in (("1. ", "2. ", "3. "), ("* ", "* ", "* "), ("- ", "- ", "- "), ("(1) ", "(2) ", "(3) "), ("a) ", "b) ", "c) "), ("o ", "o ", "o ")):
+        items = [b + x + "." for b, x in zip(bullets, (source, binary, endorse), strict=True)]
+        for gap in ([], [""]):
+            for n, spdx in ((2, "BSD-2-Clause"), (3, "BSD-3-Clause")):
+                bsd = [*textwrap.wrap(grant + ":", 70), *gap, *[y for x in items[:n] for y in textwrap.wrap(x, 70)]]
+                for text, expected in ((bsd, spdx), (MIT.split("\n"), "MIT"), (textwrap.wrap(isc, 60), "ISC")):
+                    text = ["Copyright (c) 2020 The Authors", *text]
+                    for leader in ("", " * ", "# ", "// ", "-- ", "REM ", "dnl ", ";; "):
+                        header = "\n".join((leader + x).rstrip() for x in text)
+                        header = "/*\n" + header + "\n */\nint x;" if leader == " * " else header
+                        assert names(header) == [expected], header
+                        begin, end, _ = licenses.Scanner().matches(header)[0] if leader == "# " else (0, 0, None)
+                        assert leader != "# " or header[begin:end].startswith(("Redistribution", "Permission"))
+
+
 def test_licences_by_brute_force(spark, given):
     rows = {r["doc_id"]: r for r in queries.op9_licenses(spark, SF_DIR).collect()}
     scanner = licenses.Scanner()
