@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from emberline.llm import byte_bpe, exact_dedup, licenses, line_dedup, packing, quality_model, quality_rules, sharding, simhash, warc
+from emberline.llm import byte_bpe, conversations, exact_dedup, licenses, line_dedup, packing, quality_model, quality_rules, sharding, simhash, warc
 from emberline.llm.common import table
 
 
@@ -64,11 +64,31 @@ def op10_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def damaged(turns):
+    """The turns with one in five damaged, by a checksum of their place; nulls become one space."""
+    told = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
+    turns = turns.select("conv_id", "turn", told("role").alias("role"), told("text").alias("text"), (F.crc32(F.concat_ws(":", told("conv_id"), told("turn"))) % 20).alias("harm"))
+    harm = F.col("harm")
+    text = F.when(harm == 1, "").when(harm == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    times = F.when(harm == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    role = F.when(harm == 4, "user").otherwise(F.col("role"))
+    return turns.where(harm != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(times)).drop("col")
+
+
+def op11_conversations(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    found = conversations.report(conversations.repair_turns(damaged(turns))).withColumnRenamed("conv", "found_id")
+    every = turns.select("conv_id").distinct()
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    rest = [F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256")]
+    return every.join(found, every["conv_id"].eqNullSafe(found["found_id"]), "left").select("conv_id", *counts, *rest)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sharding, op2_byte_bpe, op3_simhash, op4_quality_classifier, op5_line_dedup, op6_warc, op7_exact_dedup, op8_quality_rules,
-        op9_licenses, op10_packing,
+        op9_licenses, op10_packing, op11_conversations,
     )
 }
 
