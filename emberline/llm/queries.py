@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from emberline.llm import byte_bpe, conversations, exact_dedup, licenses, line_dedup, packing, quality_model, quality_rules, sharding, simhash, warc
+from emberline.llm import byte_bpe, conversations, exact_dedup, hard_negatives, licenses, line_dedup, packing, quality_model, quality_rules, sharding, simhash, warc
 from emberline.llm.common import table
 
 
@@ -84,11 +84,17 @@ def op11_conversations(spark, sf_dir):
     return every.join(found, every["conv_id"].eqNullSafe(found["found_id"]), "left").select("conv_id", *counts, *rest)
 
 
+def op12_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sharding, op2_byte_bpe, op3_simhash, op4_quality_classifier, op5_line_dedup, op6_warc, op7_exact_dedup, op8_quality_rules,
-        op9_licenses, op10_packing, op11_conversations,
+        op9_licenses, op10_packing, op11_conversations, op12_hard_negatives,
     )
 }
 
@@ -159,4 +165,23 @@ SQL = {
           NOT (base_failed OR 10 * n_symbols > n_words OR NOT word_chars BETWEEN 2 * n_words AND 15 * n_words
             OR (n_dup_lines > 2 AND 2 * n_dup_lines > n_lines) OR 100 * shouting > 50 * n_words) AS kept FROM b
     """,
+    "op12_hard_negatives": """
+        WITH given AS (
+            SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+        ), scored AS (
+            SELECT a.id AS anchor_id, b.id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+            FROM given a JOIN given b ON a.id % 100 = 0 AND a.id <> b.id
+        ), positive AS (
+            SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+        )
+        SELECT anchor_id, positive_id, (row_number() OVER best)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+        FROM positive JOIN scored USING (anchor_id)
+        WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+        WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
+        QUALIFY row_number() OVER best <= 5
+    """,
 }
