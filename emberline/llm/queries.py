@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from emberline.llm import byte_bpe, conversations, exact_dedup, hard_negatives, licenses, line_dedup, packing, quality_model, quality_rules, sharding, simhash, warc
+from emberline.llm import byte_bpe, conversations, exact_dedup, hard_negatives, licenses, line_dedup, packing, quality_model, quality_rules, sharding, simhash, small_world, warc
 from emberline.llm.common import table
 
 
@@ -90,11 +90,15 @@ def op12_hard_negatives(spark, sf_dir):
     return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
 
 
+def op13_nearest(spark, sf_dir):
+    return small_world.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sharding, op2_byte_bpe, op3_simhash, op4_quality_classifier, op5_line_dedup, op6_warc, op7_exact_dedup, op8_quality_rules,
-        op9_licenses, op10_packing, op11_conversations, op12_hard_negatives,
+        op9_licenses, op10_packing, op11_conversations, op12_hard_negatives, op13_nearest,
     )
 }
 

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from emberline.llm import hard_negatives, queries
+from emberline.llm import hard_negatives, queries, small_world
+from tests.llm.conftest import SF_DIR
 
 SCHEMA = "vec_id long, embedding array<float>, label int, rank string, `block` int, `key.x` int, vector string"
 
@@ -91,6 +92,65 @@ def test_blocks_that_cannot_matter_are_not_read(spark, monkeypatch):
     assert read < 0.5 * 20 * blocks.count()
 
 
+def slow_nearest(rows, k=10):
+    """(query id, rank, id, score) by all distances, for rows of (vec_id, vector)."""
+    dims = max((len(v) for _, v in rows if v), default=0)
+    part = [(i, np.array([*v, *[0.0] * (dims - len(v))])) for i, v in rows if usable(v) and any(v)]
+    out = []
+    for n, (i, v) in enumerate(part):
+        if i is not None and i % 100 == 0:
+            far = sorted((float(np.sqrt(((w - v) ** 2).sum())), j is None, j or 0) for m, (j, w) in enumerate(part) if m != n)
+            out += [(i, rank, None if lacking else j, d) for rank, (d, lacking, j) in enumerate(far[:k], 1)]
+    return out
+
+
+def neighbours(spark, rows, tmp_path):
+    frame(spark, rows).write.parquet(f"{tmp_path}/embeddings.parquet")
+    return [tuple(r[c] for c in ("query_id", "rank", "vec_id", "score")) for r in queries.op13_nearest(spark, str(tmp_path)).collect()]
+
+
+def recall(got, true):
+    """Share of the true rows found, those at the distance of the last one exchangeable."""
+    got, true = ({(q, i, round(d, 9)) for q, _, i, d in x} for x in (got, true))
+    return len(got & true) / len(true)
+
+
+def test_nearest_messy(spark, tmp_path, monkeypatch):
+    """Small shards are searched whole, so the answer is exact, ties and all."""
+    monkeypatch.setattr(small_world, "SHARD", 60)
+    rows = messy(300)
+    got, true = neighbours(spark, rows, tmp_path), slow_nearest([r[:2] for r in rows])
+    key = lambda r: (r[0], round(r[3], 9), r[2] is None, r[2] or 0, r[1])
+    assert [r[:3] for r in sorted(got, key=key)] == [r[:3] for r in sorted(true, key=key)]
+    assert np.allclose([r[3] for r in sorted(got, key=key)], [r[3] for r in sorted(true, key=key)], rtol=1e-12)
+
+
+def test_nearest_few_and_none(spark, tmp_path):
+    assert neighbours(spark, [], tmp_path / "a") == []
+    assert neighbours(spark, [(0, [1.0, 2.0], 1)], tmp_path / "b") == []
+    got = neighbours(spark, [(0, [1.0, 2.0], 1), (7, [1e30, 2.0], 1), (5, [1.0, 2.0], 1)], tmp_path / "c")
+    assert [r[:3] for r in sorted(got)] == [(0, 1, 5), (0, 2, 7)]
+
+
+@pytest.mark.parametrize("spread", [1.0, 0.02])
+def test_recall_of_the_graph(spark, tmp_path, monkeypatch, spread):
+    """At least 0.9 of the true neighbours, in scattered and in tightly grouped vectors, a third of all in one group."""
+    monkeypatch.setattr(small_world, "SHARD", 1500)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 32))
+    group = np.where(np.arange(6000) % 3 == 0, 0, rng.integers(0, 30, 6000))
+    x = np.float32(centres[group] * (1 - spread) + rng.normal(size=(6000, 32)) * spread)
+    rows = [(i * 5, [float(c) for c in v], 0) for i, v in enumerate(x)]
+    got, true = neighbours(spark, rows, tmp_path), slow_nearest([r[:2] for r in rows])
+    assert recall(got, true) >= 0.9
+
+
+def test_given_vectors(spark):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF_DIR}/embeddings.parquet").collect()]
+    got = [tuple(r[c] for c in ("query_id", "rank", "vec_id", "score")) for r in queries.op13_nearest(spark, SF_DIR).collect()]
+    assert recall(got, slow_nearest(rows)) >= 0.99
+
+
 @pytest.mark.parametrize(("dims", "bits"), [(2, 3), (3, 2), (5, 2)])
 def test_curve_visits_neighbours(dims, bits):
     """All cells of a grid in the order of the curve: each step moves by one in one dimension."""
