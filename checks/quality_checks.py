@@ -99,6 +99,15 @@ add(
     f", {TWICE} {Q6.format(p='P2')}",
 )
 add("dq_orphans", lambda t: quality.consistency_checks(t.DE, t.P), [DE, P], Q7)
+INACTIVE = """(SELECT count(*) AS n, count(DISTINCT player_id) AS m FROM DE JOIN P USING (player_id)
+   WHERE floor(epoch(TIMESTAMP '2024-04-10 12:00:00' - last_active_date) / 86400) > 90)"""
+add(
+    "dq_inactive_player_events",
+    lambda t: quality.inactive_player_events(t.DE, t.P, "2024-04-10 12:00:00"),
+    [DE, P],
+    rule_sql(11, "inactive_player_events", SHARE, 0.1, "info", f"'Found ' || n || ' events from inactive players (' || {pct(SHARE)} || ')'",
+             INACTIVE, details="""'{"inactive_player_count":' || m || '}'"""),
+)
 add("dq_daily_volume_drop", lambda t: quality.daily_volume_drop(t.E, t.HE), [E, HE], volume_sql("E"))
 add("dq_hourly_spike", lambda t: quality.hourly_spike(t.E), [E], spike_sql("E"))
 SUITE = [*Q1, Q2, Q3, Q4]

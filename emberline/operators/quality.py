@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions.columns import SESSION_TYPES
 from emberline.functions.text import fixed, percent
-from emberline.functions.times import When, ts_lit
+from emberline.functions.times import When, elapsed_days, ts_lit
 
 SEVERITIES = ("info", "warning", "error", "critical")
 MAX_DURATION = 86400
@@ -110,34 +110,37 @@ _MISSING = {
 }
 
 
-def _repeated(rows: DataFrame) -> Column:
-    """How many rows repeat an earlier one, as a scalar. Only 96 bits of hash of each row are shuffled.
+def _alike(events: DataFrame, flags: dict[str, Column], keys: list[str], extra: dict[str, Column], exact: bool) -> DataFrame:
+    """One row for all rows that are equal: how many (``copies``) and, in ``flags``, which conditions hold for them.
 
-    Hashes skip nulls, so which columns are null is a part of the key.
+    Equal rows meet by a digest of 128 bits, nulls included, so little is shuffled whatever the width of a row; with
+    ``exact`` by all their columns. Flags are a function of the row, so they never part equal rows.
     """
-    nulls = F.concat(*[F.when(F.col(c).isNull(), F.lit("1")).otherwise(F.lit("0")) for c in rows.columns])
-    alike = rows.groupBy(
-        F.xxhash64(*rows.columns, nulls).alias("digest"), F.hash(*rows.columns, nulls).alias("digest2")
-    ).agg(F.count(F.lit(1)).alias("copies"))
-    return alike.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("repeated")).scalar()
+    columns = [F.col(c) for c in events.columns]
+    digests = [F.xxhash64(F.lit(salt), *columns, *[c.isNull() for c in columns]).alias(f"digest{salt}") for salt in (1, 2)]
+    same = columns if exact else [*[F.col(k) for k in keys], *digests]
+    bits = sum((F.when(c, F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(flags.values())), F.lit(0))
+    return events.groupBy(*same, bits.alias("flags")).agg(F.count(F.lit(1)).alias("copies"), *[c.alias(n) for n, c in extra.items()])
 
 
-def _measures(events: DataFrame, as_of: When | None) -> dict[str, Column]:
-    """Sums over event rows."""
+def _flagged(flags: dict[str, Column]) -> dict[str, Column]:
+    """For each condition the number of rows it holds for, over the output of :func:`_alike`."""
+    return {
+        name: F.coalesce(F.sum(F.when(F.col("flags").bitwiseAND(1 << i) != 0, F.col("copies"))), F.lit(0))
+        for i, name in enumerate(flags)
+    }
 
-    def total_where(condition: Column) -> Column:
-        return F.count_if(F.coalesce(condition, F.lit(False)))
 
+def _conditions(columns: list[str], as_of: When | None) -> dict[str, Column]:
+    """What is counted of the event rows."""
     in_session = F.col("event_type").isin(*SESSION_TYPES)
-    measures = {"total": F.count(F.lit(1)), "sessions": total_where(in_session)}
-    for _, column in _MISSING.values():
-        measures[f"no_{column}"] = total_where(F.col(column).isNull())
+    found = {"sessions": in_session} | {f"no_{c}": F.col(c).isNull() for _, c in _MISSING.values()}
     if as_of is not None:
-        measures["future"] = total_where(F.col("timestamp") > ts_lit(as_of))
-    if "session_duration" in events.columns:
+        found["future"] = F.col("timestamp") > ts_lit(as_of)
+    if "session_duration" in columns:
         length = F.col("session_duration")
-        measures["bad_durations"] = total_where(in_session & ((length < 0) | (length > MAX_DURATION)))
-    return measures
+        found["bad_durations"] = in_session & ((length < 0) | (length > MAX_DURATION))
+    return {name: F.coalesce(c, F.lit(False)) for name, c in found.items()}
 
 
 def _result_rows(config: QualityConfig, names: list[str], has_durations: bool) -> list[Column]:
@@ -177,19 +180,17 @@ def _empty_row(name: str, severity: str, message: str) -> Column:
 EVENT_CHECKS = [*_MISSING, "duplicate_events", "future_timestamps", "invalid_session_durations"]
 
 
-def event_checks(
-    events: DataFrame, as_of: When, config: QualityConfig = DEFAULTS, names: list[str] | None = None
-) -> DataFrame:
-    """The event suite in one pass.
+def event_measures(columns: list[str], as_of: When, among: Column | None = None) -> dict[str, Column]:
+    """Aggregates that :func:`checks_of_measures` needs, but for duplicates, over all event rows or those ``among``."""
+    counted = {"total": F.lit(True), **_conditions(columns, as_of)}
+    return {name: F.count_if(c if among is None else c & among) for name, c in counted.items()}
 
-    All checks but one are plain sums of which nothing but one row is shuffled; the duplicate
-    check shuffles a digest per row. An empty input yields only the ``empty_dataset`` row.
-    """
-    names = EVENT_CHECKS if names is None else names
-    measured = events.agg(*[m.alias(n) for n, m in _measures(events, as_of).items()])
-    if "duplicate_events" in names and config.active("duplicate_events"):
-        measured = measured.withColumn("duplicates", _repeated(events))
-    rows = _result_rows(config, names, "session_duration" in events.columns)
+
+def checks_of_measures(
+    measured: DataFrame, columns: list[str], config: QualityConfig = DEFAULTS, names: list[str] | None = None
+) -> DataFrame:
+    """Check rows from one row of measures. No events yield only the ``empty_dataset`` row."""
+    rows = _result_rows(config, EVENT_CHECKS if names is None else names, "session_duration" in columns)
     empty = _empty_row("empty_dataset", "critical", "Events dataset is empty")
     results = F.when(F.col("total") == 0, F.array(empty))
     if rows:
@@ -197,12 +198,30 @@ def event_checks(
     return measured.select(F.inline(results)).orderBy("ordinal")
 
 
+def event_checks(
+    events: DataFrame, as_of: When, config: QualityConfig = DEFAULTS, names: list[str] | None = None, exact: bool = False
+) -> DataFrame:
+    """The event suite in one scan.
+
+    Without the duplicate check, nothing but one row is shuffled. With it, a digest per row is, and all other
+    checks are summed over the same groups of equal rows; ``exact`` compares whole rows instead of digests.
+    """
+    names = EVENT_CHECKS if names is None else names
+    if "duplicate_events" in names and config.active("duplicate_events"):
+        flags = _conditions(events.columns, as_of)
+        copies = {"total": F.coalesce(F.sum("copies"), F.lit(0)), "duplicates": F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))}
+        measured = _alike(events, flags, [], {}, exact).agg(*[m.alias(n) for n, m in (copies | _flagged(flags)).items()])
+    else:
+        measured = events.agg(*[m.alias(n) for n, m in event_measures(events.columns, as_of).items()])
+    return checks_of_measures(measured, events.columns, config, names)
+
+
 def missing_values(events: DataFrame, as_of: When, config: QualityConfig = DEFAULTS) -> DataFrame:
     return event_checks(events, as_of, config, list(_MISSING))
 
 
-def duplicates(events: DataFrame, as_of: When, config: QualityConfig = DEFAULTS) -> DataFrame:
-    return event_checks(events, as_of, config, ["duplicate_events"])
+def duplicates(events: DataFrame, as_of: When, config: QualityConfig = DEFAULTS, exact: bool = False) -> DataFrame:
+    return event_checks(events, as_of, config, ["duplicate_events"], exact)
 
 
 def future_timestamps(events: DataFrame, as_of: When, config: QualityConfig = DEFAULTS) -> DataFrame:
@@ -213,10 +232,14 @@ def session_durations(events: DataFrame, as_of: When, config: QualityConfig = DE
     return event_checks(events, as_of, config, ["invalid_session_durations"])
 
 
+def critical_names(config: QualityConfig = DEFAULTS) -> list[str]:
+    """The event checks that can stop a load."""
+    return [n for n in EVENT_CHECKS if (rule := config.active(n)) and rule.severity == "critical"]
+
+
 def critical_event_checks(events: DataFrame, as_of: When, config: QualityConfig = DEFAULTS) -> DataFrame:
-    """The event checks that can stop a load: those of critical severity, and emptiness."""
-    names = [n for n in EVENT_CHECKS if (rule := config.active(n)) and rule.severity == "critical"]
-    return event_checks(events, as_of, config, names)
+    """The event checks of critical severity, and emptiness."""
+    return event_checks(events, as_of, config, critical_names(config))
 
 
 def empty_inputs(events: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -265,6 +288,30 @@ def consistency_checks(events: DataFrame, profiles: DataFrame, config: QualityCo
     return sums.where("total > 0").select(F.inline(F.array(row)))
 
 
+def inactive_player_events(
+    events: DataFrame, profiles: DataFrame, as_of: When, config: QualityConfig = DEFAULTS, days: int = 90
+) -> DataFrame:
+    """Share of events whose player was last active more than ``days`` whole days before ``as_of``.
+
+    Events of a player without a profile count as events only. No events, or the rule switched off: no row.
+    """
+    rule = config.active("inactive_player_events")
+    gone = profiles.where(elapsed_days(F.col("last_active_date"), ts_lit(as_of)) > days).select("player_id").distinct()
+    per_player = events.groupBy("player_id").agg(F.count(F.lit(1)).alias("events"))
+    left = per_player.join(gone.withColumn("gone", F.lit(True)), "player_id", "left")
+    sums = left.agg(
+        F.sum("events").alias("total"),
+        F.coalesce(F.sum(F.when(F.col("gone"), F.col("events"))), F.lit(0)).alias("inactive"),
+        F.count_if("gone").alias("players"),
+    )
+    share = _share(F.col("inactive"), F.col("total"))
+    details = F.to_json(F.struct(F.col("players").alias("inactive_player_count")))
+    threshold, severity = (rule.threshold, rule.severity) if rule else (0.0, "")
+    row = _row(11, "inactive_player_events", share, threshold, severity,
+               _found(F.col("inactive"), "events from inactive players", share), details=details)
+    return sums.where((F.col("total") > 0) & F.lit(rule is not None)).select(F.inline(F.array(row)))
+
+
 def _hourly_volume(events: DataFrame) -> DataFrame:
     """Events per (date, hour): the common ground of the two volume checks."""
     timed = events.where(F.col("timestamp").isNotNull())
@@ -376,27 +423,31 @@ def quality_report(checks: DataFrame) -> DataFrame:
 
 def profile_summary(events: DataFrame, profiles: DataFrame, as_of: When) -> DataFrame:
     """One row of ingestion statistics with the list of issues found."""
-    sums = events.agg(
-        F.count(F.lit(1)).alias("total_events"),
-        F.min("timestamp").alias("first_event"),
-        F.max("timestamp").alias("last_event"),
-        F.count_if(F.coalesce(F.col("timestamp") > ts_lit(as_of), F.lit(False))).alias("future_events"),
-    ).withColumn("duplicate_events", _repeated(events))
-    sides = (
-        events.select("player_id", F.lit(1).alias("e"), F.lit(0).alias("p"))
-        .unionByName(profiles.select("player_id", F.lit(0).alias("e"), F.lit(1).alias("p")))
-        .groupBy("player_id")
-        .agg(F.max("e").alias("e"), F.max("p").alias("p"), F.sum("p").alias("profiles"))
-        .agg(
-            F.struct(
-                F.coalesce(F.sum("profiles"), F.lit(0)).alias("total_players"),
-                F.count_if((F.col("e") == 1) & (F.col("p") == 0)).alias("players_without_profile"),
-                F.count_if((F.col("e") == 0) & (F.col("p") == 1)).alias("players_without_events"),
-            ).alias("s")
-        )
-        .scalar()
+    # equal rows, then players: the events are read once
+    flags = {"future_events": F.coalesce(F.col("timestamp") > ts_lit(as_of), F.lit(False))}
+    instants = {"first_event": F.min("timestamp"), "last_event": F.max("timestamp")}
+    rows = _alike(events, flags, ["player_id"], instants, False)
+    per_player = rows.groupBy("player_id").agg(
+        F.sum("copies").alias("total_events"),
+        F.sum(F.col("copies") - 1).alias("duplicate_events"),
+        *[c.alias(n) for n, c in _flagged(flags).items()],
+        F.min("first_event").alias("first_event"),
+        F.max("last_event").alias("last_event"),
+    )
+    known = profiles.groupBy("player_id").agg(F.count(F.lit(1)).alias("profiles"))
+    counts = ["total_events", "duplicate_events", "future_events"]
+    both = per_player.unionByName(known, allowMissingColumns=True).groupBy("player_id").agg(
+        *[F.sum(c).alias(c) for c in (*counts, "profiles")], F.min("first_event").alias("first_event"), F.max("last_event").alias("last_event"),
+    )
+    no_events = F.col("total_events").isNull()
+    columns = both.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts],
+        F.min("first_event").alias("first_event"),
+        F.max("last_event").alias("last_event"),
+        F.coalesce(F.sum("profiles"), F.lit(0)).alias("total_players"),
+        F.count_if(F.col("profiles").isNull()).alias("players_without_profile"),
+        F.count_if(no_events).alias("players_without_events"),
     )
-    columns = sums.withColumn("s", sides).select("*", "s.*").drop("s")
 
     def issue(count: str, before: str, after: str) -> Column:
         return F.when(F.col(count) > 0, F.concat(F.lit(before), F.col(count).cast("string"), F.lit(after)))
