@@ -255,9 +255,7 @@ def _array_file(t):
     rows = sinks.with_iso_strings(t.P.select(*[f.name for f in schemas.PROFILES]))
     record = F.to_json(F.struct(*rows.columns))
     spoilt = F.regexp_replace(record, '"total_sessions":[0-9]+', '"total_sessions":"many"')
-    rows.select(F.when(bad, spoilt).otherwise(record).alias("record")).groupBy(F.crc32("record") % 3).agg(
-        F.concat(F.lit("["), F.concat_ws(",", F.collect_list("record")), F.lit("]")).alias("value")
-    ).select("value").write.option("maxRecordsPerFile", 1).text(f"{folder}/profiles")
+    sinks.write_array_files(rows.select(F.when(bad, spoilt).otherwise(record)), f"{folder}/profiles")
     return readers.load_profiles(t.spark, f"{folder}/profiles", array_file=True).clean.select("player_id", "total_playtime_minutes")
 
 

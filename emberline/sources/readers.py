@@ -6,7 +6,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,7 @@ from emberline import schemas
 from emberline.functions import rules
 from emberline.functions.times import When
 from emberline.operators import quality
+from emberline.sources import json_arrays
 
 CORRUPT = "_corrupt_record"
 MAX_BAD_PROFILES = 0.10
@@ -41,47 +42,67 @@ def _read_json(spark: SparkSession, path: str, schema: T.StructType, array_file:
     """
     instants = {f.name: f.dataType for f in schema if isinstance(f.dataType, (T.TimestampNTZType, T.DateType))}
     fields = [T.StructField(f.name, T.StringType() if f.name in instants else f.dataType) for f in schema]
-    text = spark.read.option("wholetext", array_file).text(path)
     if array_file:
-        # a file that is no array is one corrupt record
-        records = text.select(
-            F.explode_outer(F.from_json("value", T.ArrayType(T.StringType()))).alias("record"), F.from_json("value", T.ArrayType(T.StringType())).isNull().alias("broken"),
-        ).where("broken or record is not null")
+        records = json_arrays.read_records(spark, path)
     else:
-        records = text.where(F.trim("value") != "").select(F.col("value").alias("record"))
+        records = spark.read.text(path).where(F.trim("value") != "").select(F.col("value").alias("record"), F.lit(False).alias("broken"))
     parsed = F.from_json(
         "record", T.StructType([*fields, T.StructField(CORRUPT, T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     )
-    raw = records.select("record", parsed.alias("parsed")).select(
+    raw = records.select("record", "broken", parsed.alias("parsed")).select(
         *[F.col("parsed")[f.name].alias(f.name) for f in fields],
-        F.coalesce(F.col("parsed")[CORRUPT], F.when(F.col("parsed").isNull() | F.col("record").isNull(), F.coalesce("record", F.lit("")))).alias(CORRUPT),
+        F.coalesce(F.col("parsed")[CORRUPT], F.when(F.col("parsed").isNull() | F.col("broken"), F.coalesce("record", F.lit("")))).alias(CORRUPT),
     )
     return raw.withColumns({n: F.col(n).try_cast(t) for n, t in instants.items()})
 
 
+#: Partition of a landing folder that tells the stored bad records from the good ones.
+QUARANTINED = "quarantined"
+
+
+def _landed(spark: SparkSession, landing: str, schema: T.StructType) -> DataFrame:
+    stored = T.StructType([*schema, T.StructField(QUARANTINED, T.BooleanType())])
+    return spark.read.schema(stored).parquet(landing)
+
+
+def read_quarantine(spark: SparkSession, landing: str) -> DataFrame:
+    """The bad records of a load, with their reasons, as its landing folder keeps them."""
+    return spark.read.parquet(landing).where(F.col(QUARANTINED)).drop(QUARANTINED)
+
+
 def _gated(
-    df: DataFrame, rule_set: Mapping[str, Column], limit: float, what: str, landing: str | None
-) -> Loaded:
-    """Check every record and stop when too many are bad.
+    df: DataFrame, rule_set: Mapping[str, Column], limit: float, what: str, landing: str | None, among_good: Mapping[str, Column] | None = None
+) -> tuple[Loaded, dict]:
+    """Check every record and stop when too many are bad; also the aggregates ``among_good`` of the clean rows.
 
-    With a ``landing`` folder the text is parsed once: the checked rows are
-    written there as Parquet, and all later work reads the columns it needs.
+    With a ``landing`` folder the text is parsed once: while clean and bad rows are written there, in
+    partitions of their own, the counts are observed, and all later work reads the columns it needs.
     Without one the text is parsed again by every use, with the same outcome.
     """
     checked = rules.with_reasons(df, {"corrupt_record": F.col(CORRUPT).isNotNull(), **rule_set})
-    if landing is not None:
-        checked.write.mode("overwrite").parquet(landing)
-        checked = df.sparkSession.read.schema(checked.schema).parquet(landing)
-    sums = checked.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.size("reasons") > 0).alias("bad"),
-        F.collect_set(F.get("reasons", 0)).alias("examples"),  # at most one entry per rule
-    ).first()
-    clean, bad = rules.split(checked)
-    share = sums["bad"] / sums["total"] if sums["total"] else 0.0
+    bad = F.size("reasons") > 0
+    sums = {
+        "total": F.count(F.lit(1)),
+        "bad": F.count_if(bad),
+        "examples": F.collect_set(F.get("reasons", 0)),  # at most one entry per rule
+        **{f"good_{n}": c for n, c in (among_good or {}).items()},
+    }
+    columns = [c.alias(n) for n, c in sums.items()]
+    if landing is None:
+        found = checked.agg(*columns).first().asDict()
+        clean, quarantine = rules.split(checked)
+    else:
+        seen = Observation()
+        observed = checked.observe(seen, *columns).withColumn(QUARANTINED, bad)
+        observed.write.mode("overwrite").partitionBy(QUARANTINED).parquet(landing)
+        found = seen.get
+        stored = _landed(df.sparkSession, landing, checked.schema)
+        clean = stored.where(~F.col(QUARANTINED)).drop(QUARANTINED, "reasons")
+        quarantine = stored.where(F.col(QUARANTINED)).drop(QUARANTINED)
+    share = found["bad"] / found["total"] if found["total"] else 0.0
     if share > limit:
-        raise LoadError(f"{share:.1%} of the {what} records are bad, over {limit:.0%}: {sorted(sums['examples'])[:5]}")
-    return Loaded(clean.drop(CORRUPT), bad, share)
+        raise LoadError(f"{share:.1%} of the {what} records are bad, over {limit:.0%}: {sorted(found['examples'])[:5]}")
+    return Loaded(clean.drop(CORRUPT), quarantine, share), {n: found[f"good_{n}"] for n in among_good or {}}
 
 
 def load_profiles(
@@ -89,11 +110,10 @@ def load_profiles(
 ) -> Loaded:
     """Profiles from JSON; aborts when more than 10 % of them are bad.
 
-    The default is JSON Lines, which splits across tasks. ``array_file`` reads
-    files that hold one JSON array each; such a file is one task's work.
+    The default is JSON Lines; ``array_file`` reads files that hold one JSON array each. Both split across tasks.
     """
     raw = _read_json(spark, path, T.StructType([*schemas.PROFILES, *schemas.PROFILE_EXTRAS]), array_file)
-    return _gated(raw, rules.profile_rules(), MAX_BAD_PROFILES, "profile", landing)
+    return _gated(raw, rules.profile_rules(), MAX_BAD_PROFILES, "profile", landing)[0]
 
 
 def load_events(
@@ -101,9 +121,12 @@ def load_events(
 ) -> Loaded:
     """Events from JSON; aborts above 5 % bad rows or on a failed critical quality check."""
     raw = _read_json(spark, path, schemas.EVENTS, array_file)
-    loaded = _gated(raw, rules.event_rules(), MAX_BAD_EVENTS, "event", landing)
+    columns = schemas.EVENTS.names
+    measures = quality.event_measures(columns, as_of, among=F.size("reasons") == 0)
+    loaded, found = _gated(raw, rules.event_rules(), MAX_BAD_EVENTS, "event", landing, measures)
+    measured = spark.createDataFrame([tuple(found.values())], T.StructType([T.StructField(n, T.LongType()) for n in found]))
     failed = (
-        quality.critical_event_checks(loaded.clean, as_of)
+        quality.checks_of_measures(measured, columns, names=quality.critical_names())
         .where(~F.col("passed") & (F.col("severity") == "critical"))
         .select("message")
         .collect()  # at most one row per critical rule
@@ -118,7 +141,7 @@ def load_churn_features(
 ) -> DataFrame:
     """Churn features from JSON; a single bad row aborts."""
     raw = _read_json(spark, path, schemas.CHURN_FEATURES, array_file)
-    return _gated(raw, rules.churn_feature_rules(), 0.0, "churn feature", landing).clean
+    return _gated(raw, rules.churn_feature_rules(), 0.0, "churn feature", landing)[0].clean
 
 
 def load_all(

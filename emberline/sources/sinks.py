@@ -2,11 +2,13 @@
 
 An upsert rewrites only the date partitions it touches (dynamic partition
 overwrite): new files are staged and swapped in when the job commits, so a lost
-executor only repeats its tasks.
+executor only repeats its tasks. What is stored is read between the batch's first
+and last date only, a filter on the partitions.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,7 @@ from emberline import schemas
 from emberline.functions.times import When, ts_lit
 from emberline.operators import kpi
 from emberline.sources.readers import read_table
+from emberline.sources.workers import ship_package
 
 
 def iso_text(instant: Column) -> Column:
@@ -35,6 +38,29 @@ def write_json(df: DataFrame, path: str) -> None:
     with_iso_strings(df).write.mode("overwrite").json(path)
 
 
+def _bracketed(batches):
+    """The records of one task as the lines of one JSON array."""
+    mark = "["
+    for batch in batches:
+        lines = batch.column(0).to_pylist()
+        if lines:
+            yield pa.RecordBatch.from_arrays([pa.array([mark + lines[0], *["," + x for x in lines[1:]]])], names=["value"])
+            mark = ","
+    yield pa.RecordBatch.from_arrays([pa.array(["[]" if mark == "[" else "]"])], names=["value"])
+
+
+def write_array_files(records: DataFrame, path: str) -> None:
+    """The JSON texts of a one-column table as files of one array each, one for each partition."""
+    ship_package(records.sparkSession)
+    records.mapInArrow(_bracketed, "value string").write.mode("overwrite").text(path)
+
+
+def write_json_arrays(df: DataFrame, path: str) -> None:
+    """Rows as files of one JSON array each, one for each partition of ``df``."""
+    rows = with_iso_strings(df)
+    write_array_files(rows.select(F.to_json(F.struct(*rows.columns))), path)
+
+
 def write_table(df: DataFrame, root: str, name: str, partition_by: str | None = None) -> None:
     writer = df.write.mode("overwrite")
     if partition_by:
@@ -66,6 +92,13 @@ def latest_per_key(df: DataFrame, keys: list[str], order: str | None) -> DataFra
     return picked.select(*keys, *[F.col(f"row.{c}").alias(c) for c in rest])
 
 
+def stored_near(batch: DataFrame, root: str, name: str, partition_by: str) -> DataFrame:
+    """The stored rows whose partition lies within those of ``batch`` (its keys include the partition column)."""
+    low, high = batch.agg(F.min(partition_by), F.max(partition_by)).first()
+    stored = read_table(batch.sparkSession, root, name)
+    return stored.where("false") if low is None else stored.where(F.col(partition_by).between(F.lit(low), F.lit(high)))
+
+
 def upsert(
     df: DataFrame,
     root: str,
@@ -77,7 +110,7 @@ def upsert(
 ) -> None:
     """Insert rows, replacing those with equal keys."""
     schema = schemas.TABLES[name]
-    existing = read_table(df.sparkSession, root, name)
+    existing = stored_near(df, root, name, partition_by)
     fresh = stamped(latest_per_key(df, keys, order), existing, keys, as_of)
     touched = fresh.select(partition_by).distinct()
     kept = existing.join(touched, partition_by, "left_semi").join(fresh.select(*keys), keys, "left_anti")
@@ -96,7 +129,7 @@ def insert_if_absent(
 ) -> None:
     """Insert only rows whose keys are new, each once; existing rows stay as they are."""
     schema = schemas.TABLES[name]
-    existing = read_table(df.sparkSession, root, name)
+    existing = stored_near(df, root, name, partition_by)
     new = latest_per_key(df, keys, order).join(existing.select(*keys), keys, "left_anti")
     now = ts_lit(as_of)
     rows = new.withColumns({"created_at": now, "updated_at": now})
@@ -117,10 +150,10 @@ def upsert_metrics(kpis: DataFrame, root: str, as_of: When) -> None:
 def append_alerts(alert_rows: DataFrame, root: str, as_of: When) -> None:
     """Append alerts, unresolved; stored ids stay as they are, and no new ids write no files.
 
-    Ids follow from metric and date, so a job that runs again stores no alert twice.
+    Ids follow from metric and date, so a job that runs again stores no alert twice, and reads the alerts of its dates only.
     """
-    stored = read_table(alert_rows.sparkSession, root, "retention_alerts").select("alert_id")
-    alert_rows = alert_rows.join(stored, "alert_id", "left_anti")
+    stored = stored_near(alert_rows, root, "retention_alerts", "metric_date").select("metric_date", "alert_id")
+    alert_rows = alert_rows.join(stored, ["metric_date", "alert_id"], "left_anti")
     now = ts_lit(as_of)
     blank = {
         "resolved_at": F.lit(None),
@@ -132,7 +165,7 @@ def append_alerts(alert_rows: DataFrame, root: str, as_of: When) -> None:
     (
         rows.select(*[F.col(f.name).cast(f.dataType) for f in schemas.ALERTS])
         .write.mode("append")
-        .partitionBy("severity")
+        .partitionBy("metric_date")
         .parquet(f"{root.rstrip('/')}/retention_alerts")
     )
 
