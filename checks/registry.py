@@ -67,6 +67,12 @@ def add(name: str, build: Callable[[Tables], DataFrame], views: list[str] | None
         SQL[name] = with_views(views, sql) if views else sql.strip()
 
 
+def add_same(name: str, build: Callable[[Tables], DataFrame], other: str):
+    """Register ``build`` with the SQL of the query ``other``."""
+    add(name, build)
+    SQL[name] = SQL[other]
+
+
 def r6(column: Column | str) -> Column:
     """Six digits; the nudge keeps exact ties from falling to either side by a last bit."""
     return F.round(F.lit(1e-9) + (F.col(column) if isinstance(column, str) else column), 6)

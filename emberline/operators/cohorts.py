@@ -54,7 +54,11 @@ def cohort_table(events: DataFrame, profiles: DataFrame) -> DataFrame:
     activity keeps its rows with null values. Observed days arrive as one array
     (bounded by the calendar), so the grid is emitted at exactly its own size.
     """
-    counts = cohort_counts(events, profiles)
+    return table_of_counts(cohort_counts(events, profiles))
+
+
+def table_of_counts(counts: DataFrame) -> DataFrame:
+    """The dense grid from :func:`cohort_counts`."""
     observed = counts.agg(F.array_sort(F.collect_set(F.when(_seen(), F.col("day")))).alias("days")).scalar()
     grid = (
         counts.groupBy("cohort_date")
