@@ -3,7 +3,8 @@
 Records are written by Spark's text writer: a record is a string, the separator is the blank lines
 that end a WARC record. Of equal payloads one capture is the response and others revisit it.
 Each archive read back gives a run of index lines sorted by URL key and time; runs are dealt by
-key range, and each range merges its slices of all runs with a loser tree.
+key range, so many that a range is of a bounded size, and each range merges its slices of all runs
+with a loser tree.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +26,10 @@ from emberline.sources.storage import work_folder
 
 #: Payloads from this size on may be replaced by a revisit.
 LEAST_REVISITED = 1000
-#: Bytes of one archive, about; a reader holds one in memory.
+#: Bytes after which the next record goes to another archive; a reader holds one archive in memory.
 ARCHIVE_BYTES = 16 << 20
+#: Index lines that one range of the merge holds, about.
+RANGE_LINES = 200_000
 
 # Names and forms that the WARC format gives.
 VERSION = "WARC/1.1"
@@ -82,6 +86,23 @@ def _record(page_id: Column, url: Column, date: Column, payload: Column, digest:
     )
 
 
+def _numbered(archive_bytes: int) -> Callable:
+    """Adds to each record of a task the number of its archive, by a running sum of bytes."""
+
+    def each(batches):
+        number, filled = 0, 0
+        for batch in batches:
+            numbers = []
+            for size in pc.binary_length(batch.column(0)).to_pylist():
+                if filled and filled + size > archive_bytes:
+                    number, filled = number + 1, 0
+                filled += size + len(END)
+                numbers.append(number)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.int32())], names=["value", "archive"])
+
+    return each
+
+
 def write_archives(
     pages: DataFrame, folder: str, date: Column, id: str = "page_id", url: str = "url", html: str = "html",
     least: int = LEAST_REVISITED, archive_bytes: int = ARCHIVE_BYTES,
@@ -91,14 +112,14 @@ def write_archives(
     A null html is an empty payload. Of rows with equal payloads of ``least`` bytes or more that with
     the largest id (of those, the largest url) is the response; the others revisit it. Of rows
     alike in id, url and payload one is the response. A null id is the smallest. Other columns of
-    ``pages`` are not read. An empty table writes no record.
+    ``pages`` are not read. An empty table writes no record. An archive holds ``archive_bytes`` at
+    most, or a single record that is larger.
     """
     payload = F.coalesce(col(html), F.lit(""))
     full = pages.select(
         col(id).alias("page_id"), col(url).alias("url"), date.alias("date"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("digest")
     )
     rows = staged(full.select("page_id", "url", "digest", F.octet_length("payload").alias("bytes")))
-    average = rows.agg(F.avg(F.col("bytes") + F.lit(600))).first()[0] or 1
     repeated = (
         with_winner(rows.where(F.col("bytes") >= least), "digest", F.struct("page_id", "url"))
         .where("group_size > 1")
@@ -126,10 +147,8 @@ def write_archives(
         )
         single = single.unionByName(several.select(*columns, (F.col("copy") > 1).alias("revisit")))
     record = _record(*[F.col(c) for c in (*columns, "revisit")])
-    (
-        single.select(record.alias("value")).write.option("lineSep", END)
-        .option("maxRecordsPerFile", max(1, int(archive_bytes / average))).mode("overwrite").text(folder)
-    )
+    numbered = map_batches(single.select(record.alias("value")), _numbered(archive_bytes), "value string, archive int")
+    numbered.write.option("lineSep", END).partitionBy("archive").mode("overwrite").text(folder)
 
 
 # ---------------------------------------------------------------- reading
@@ -243,26 +262,33 @@ class LoserTree:
 
 def _merging() -> Callable:
     def each(batches):
-        parts = list(batches)  # one key range of an index, runs one after the other
-        if not parts:
-            return
-        lines = pa.Table.from_batches(parts)
-        keys = list(zip(*[[v or "" for v in lines.column(k).to_pylist()] for k in KEY], range(lines.num_rows), strict=True))
-        archives = lines.column("archive").to_pylist()
-        begins = [i for i, a in enumerate(archives) if i == 0 or a != archives[i - 1]] + [len(archives)]
-        tree = LoserTree([iter(keys[a:b]) for a, b in zip(begins, begins[1:], strict=False)])
-        order = pa.array([head[-1] for _, head in tree], pa.int64())
-        yield from lines.take(order).combine_chunks().to_batches(max_chunksize=10_000)
+        slices: dict[str, list[tuple]] = {}
+        lines, n = [], 0
+        for batch in batches:  # one key range of the index: a slice of each run, in the order of the run
+            lines.append(batch)
+            columns = [batch.column(k).to_pylist() for k in (*KEY, "archive")]
+            for urlkey, date, page, archive in zip(*columns, strict=True):
+                slices.setdefault(archive, []).append((urlkey or "", date or "", page or "", n))
+                n += 1
+        for archive, run in slices.items():
+            if any(a > b for a, b in zip(run, run[1:], strict=False)):  # a slice that came in pieces out of order
+                slices[archive] = sorted(run)
+        if n:
+            tree = LoserTree([iter(slices[a]) for a in sorted(slices)])
+            order = pa.array([head[-1] for _, head in tree], pa.int64())
+            yield from pa.Table.from_batches(lines).take(order).combine_chunks().to_batches(max_chunksize=10_000)
 
     return each
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
+def merge_runs(runs: DataFrame, range_lines: int = RANGE_LINES) -> DataFrame:
     """The lines of all ``runs`` in one order by URL key, time and page, across partitions too.
 
-    Ranges are cut by the whole key, so that a URL with very many captures spans several.
+    Ranges are cut by the whole key, so that a URL with very many captures spans several, and there are as many
+    as ``range_lines`` asks for; lines alike in their whole key stay together. A task holds one range.
     """
-    dealt = runs.repartitionByRange(*[F.col(k).asc_nulls_first() for k in KEY]).sortWithinPartitions("archive", *KEY)
+    ranges = max(1, -(-runs.count() // range_lines))
+    dealt = runs.repartitionByRange(ranges, *[F.col(k).asc_nulls_first() for k in KEY])
     return map_batches(dealt, _merging(), runs.schema)
 
 

@@ -55,6 +55,26 @@ def test_index_points_into_the_archives(spark, tmp_path):
         assert data.startswith(b"WARC/1.1\r\n") and data.endswith(b"\r\n\r\n") and r["payload_digest"].encode() in data
 
 
+def test_archives_are_bounded_where_long_pages_stand_together(spark, tmp_path):
+    """One page in a hundred is 200 times as long as the mean, all of them in one partition."""
+    pages = [(i, f"http://s/{i}", f"{i} " + "x" * (200 * 500 if i < 30 else 500)) for i in range(3000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).sortWithinPartitions("page_id")
+    warc.write_archives(df, str(tmp_path / "a"), F.lit("2024-01-01T00:00:00Z"), archive_bytes=250_000)
+    sizes = [f.stat().st_size for f in (tmp_path / "a").rglob("part-*")]
+    assert len(sizes) > 10 and max(sizes) <= 250_000 + 100
+    assert warc.read_runs(spark, str(tmp_path / "a")).count() == 3000
+
+
+def test_merge_in_many_ranges(spark, tmp_path, rng):
+    pages = [(i, f"http://s/{rng.randrange(40)}", f"{i}") for i in range(900)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(6)
+    warc.write_archives(df, str(tmp_path / "a"), F.lit("2024-01-01T00:00:00Z"), archive_bytes=20_000)
+    merged = warc.merge_runs(warc.read_runs(spark, str(tmp_path / "a")), range_lines=100)
+    assert merged.rdd.getNumPartitions() == 9
+    rows = [(r["urlkey"], r["date"], r["page_id"]) for r in merged.collect()]
+    assert len(rows) == 900 and rows == sorted(rows)
+
+
 def test_loser_tree(rng):
     for k in range(12):
         runs = [sorted((rng.randint(0, 20), j) for j in range(rng.randint(0, 15))) for _ in range(k)]
