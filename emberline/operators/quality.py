@@ -180,24 +180,6 @@ def _empty_row(name: str, severity: str, message: str) -> Column:
 EVENT_CHECKS = [*_MISSING, "duplicate_events", "future_timestamps", "invalid_session_durations"]
 
 
-def event_measures(columns: list[str], as_of: When, among: Column | None = None) -> dict[str, Column]:
-    """Aggregates that :func:`checks_of_measures` needs, but for duplicates, over all event rows or those ``among``."""
-    counted = {"total": F.lit(True), **_conditions(columns, as_of)}
-    return {name: F.count_if(c if among is None else c & among) for name, c in counted.items()}
-
-
-def checks_of_measures(
-    measured: DataFrame, columns: list[str], config: QualityConfig = DEFAULTS, names: list[str] | None = None
-) -> DataFrame:
-    """Check rows from one row of measures. No events yield only the ``empty_dataset`` row."""
-    rows = _result_rows(config, EVENT_CHECKS if names is None else names, "session_duration" in columns)
-    empty = _empty_row("empty_dataset", "critical", "Events dataset is empty")
-    results = F.when(F.col("total") == 0, F.array(empty))
-    if rows:
-        results = results.otherwise(F.array(*rows))
-    return measured.select(F.inline(results)).orderBy("ordinal")
-
-
 def event_checks(
     events: DataFrame, as_of: When, config: QualityConfig = DEFAULTS, names: list[str] | None = None, exact: bool = False
 ) -> DataFrame:
@@ -212,8 +194,14 @@ def event_checks(
         copies = {"total": F.coalesce(F.sum("copies"), F.lit(0)), "duplicates": F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))}
         measured = _alike(events, flags, [], {}, exact).agg(*[m.alias(n) for n, m in (copies | _flagged(flags)).items()])
     else:
-        measured = events.agg(*[m.alias(n) for n, m in event_measures(events.columns, as_of).items()])
-    return checks_of_measures(measured, events.columns, config, names)
+        counted = {"total": F.lit(True), **_conditions(events.columns, as_of)}
+        measured = events.agg(*[F.count_if(c).alias(n) for n, c in counted.items()])
+    rows = _result_rows(config, names, "session_duration" in events.columns)
+    empty = _empty_row("empty_dataset", "critical", "Events dataset is empty")
+    results = F.when(F.col("total") == 0, F.array(empty))
+    if rows:
+        results = results.otherwise(F.array(*rows))
+    return measured.select(F.inline(results)).orderBy("ordinal")
 
 
 def missing_values(events: DataFrame, as_of: When, config: QualityConfig = DEFAULTS) -> DataFrame:
@@ -232,14 +220,10 @@ def session_durations(events: DataFrame, as_of: When, config: QualityConfig = DE
     return event_checks(events, as_of, config, ["invalid_session_durations"])
 
 
-def critical_names(config: QualityConfig = DEFAULTS) -> list[str]:
-    """The event checks that can stop a load."""
-    return [n for n in EVENT_CHECKS if (rule := config.active(n)) and rule.severity == "critical"]
-
-
 def critical_event_checks(events: DataFrame, as_of: When, config: QualityConfig = DEFAULTS) -> DataFrame:
-    """The event checks of critical severity, and emptiness."""
-    return event_checks(events, as_of, config, critical_names(config))
+    """The event checks that can stop a load: those of critical severity, and emptiness."""
+    names = [n for n in EVENT_CHECKS if (rule := config.active(n)) and rule.severity == "critical"]
+    return event_checks(events, as_of, config, names)
 
 
 def empty_inputs(events: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,42 +68,36 @@ def _landed(spark: SparkSession, landing: str, schema: T.StructType) -> DataFram
 
 def read_quarantine(spark: SparkSession, landing: str) -> DataFrame:
     """The bad records of a load, with their reasons, as its landing folder keeps them."""
-    return spark.read.parquet(landing).where(F.col(QUARANTINED)).drop(QUARANTINED)
+    return spark.read.parquet(landing).where(F.col(QUARANTINED).cast("string") == "true").drop(QUARANTINED)
 
 
 def _gated(
-    df: DataFrame, rule_set: Mapping[str, Column], limit: float, what: str, landing: str | None, among_good: Mapping[str, Column] | None = None
-) -> tuple[Loaded, dict]:
-    """Check every record and stop when too many are bad; also the aggregates ``among_good`` of the clean rows.
+    df: DataFrame, rule_set: Mapping[str, Column], limit: float, what: str, landing: str | None
+) -> Loaded:
+    """Check every record and stop when too many are bad.
 
-    With a ``landing`` folder the text is parsed once: while clean and bad rows are written there, in
-    partitions of their own, the counts are observed, and all later work reads the columns it needs.
+    With a ``landing`` folder the text is parsed once: clean and bad rows are written there, in partitions
+    of their own, and counted from the files' footers; all later work reads the columns it needs.
     Without one the text is parsed again by every use, with the same outcome.
     """
+    # not counted with observe(): once a session has used that, it cannot serialise MLlib models that hold a summary
     checked = rules.with_reasons(df, {"corrupt_record": F.col(CORRUPT).isNotNull(), **rule_set})
     bad = F.size("reasons") > 0
-    sums = {
-        "total": F.count(F.lit(1)),
-        "bad": F.count_if(bad),
-        "examples": F.collect_set(F.get("reasons", 0)),  # at most one entry per rule
-        **{f"good_{n}": c for n, c in (among_good or {}).items()},
-    }
-    columns = [c.alias(n) for n, c in sums.items()]
     if landing is None:
-        found = checked.agg(*columns).first().asDict()
+        counts = {r[0]: r[1] for r in checked.groupBy(bad).count().collect()}
         clean, quarantine = rules.split(checked)
     else:
-        seen = Observation()
-        observed = checked.observe(seen, *columns).withColumn(QUARANTINED, bad)
-        observed.write.mode("overwrite").partitionBy(QUARANTINED).parquet(landing)
-        found = seen.get
+        checked.withColumn(QUARANTINED, bad).write.mode("overwrite").partitionBy(QUARANTINED).parquet(landing)
         stored = _landed(df.sparkSession, landing, checked.schema)
+        counts = {r[0]: r[1] for r in stored.groupBy(QUARANTINED).count().collect()}
         clean = stored.where(~F.col(QUARANTINED)).drop(QUARANTINED, "reasons")
         quarantine = stored.where(F.col(QUARANTINED)).drop(QUARANTINED)
-    share = found["bad"] / found["total"] if found["total"] else 0.0
+    total = sum(counts.values())
+    share = counts.get(True, 0) / total if total else 0.0
     if share > limit:
-        raise LoadError(f"{share:.1%} of the {what} records are bad, over {limit:.0%}: {sorted(found['examples'])[:5]}")
-    return Loaded(clean.drop(CORRUPT), quarantine, share), {n: found[f"good_{n}"] for n in among_good or {}}
+        first = quarantine.groupBy(F.get("reasons", 0)).count().collect()  # at most one row per rule
+        raise LoadError(f"{share:.1%} of the {what} records are bad, over {limit:.0%}: {sorted(r[0] for r in first)[:5]}")
+    return Loaded(clean.drop(CORRUPT), quarantine, share)
 
 
 def load_profiles(
@@ -113,7 +108,7 @@ def load_profiles(
     The default is JSON Lines; ``array_file`` reads files that hold one JSON array each. Both split across tasks.
     """
     raw = _read_json(spark, path, T.StructType([*schemas.PROFILES, *schemas.PROFILE_EXTRAS]), array_file)
-    return _gated(raw, rules.profile_rules(), MAX_BAD_PROFILES, "profile", landing)[0]
+    return _gated(raw, rules.profile_rules(), MAX_BAD_PROFILES, "profile", landing)
 
 
 def load_events(
@@ -121,12 +116,9 @@ def load_events(
 ) -> Loaded:
     """Events from JSON; aborts above 5 % bad rows or on a failed critical quality check."""
     raw = _read_json(spark, path, schemas.EVENTS, array_file)
-    columns = schemas.EVENTS.names
-    measures = quality.event_measures(columns, as_of, among=F.size("reasons") == 0)
-    loaded, found = _gated(raw, rules.event_rules(), MAX_BAD_EVENTS, "event", landing, measures)
-    measured = spark.createDataFrame([tuple(found.values())], T.StructType([T.StructField(n, T.LongType()) for n in found]))
+    loaded = _gated(raw, rules.event_rules(), MAX_BAD_EVENTS, "event", landing)
     failed = (
-        quality.checks_of_measures(measured, columns, names=quality.critical_names())
+        quality.critical_event_checks(loaded.clean, as_of)
         .where(~F.col("passed") & (F.col("severity") == "critical"))
         .select("message")
         .collect()  # at most one row per critical rule
@@ -141,7 +133,7 @@ def load_churn_features(
 ) -> DataFrame:
     """Churn features from JSON; a single bad row aborts."""
     raw = _read_json(spark, path, schemas.CHURN_FEATURES, array_file)
-    return _gated(raw, rules.churn_feature_rules(), 0.0, "churn feature", landing)[0].clean
+    return _gated(raw, rules.churn_feature_rules(), 0.0, "churn feature", landing).clean
 
 
 def load_all(
@@ -160,21 +152,46 @@ def load_all(
     }
 
 
-def read_behavior_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The columns used of the behaviour CSV, matched to the header by name.
+def _csv_cells(spark: SparkSession, path: str, wanted: list[str]) -> tuple[DataFrame, DataFrame]:
+    """file, line and cells of each line below a header, and the header of each file: where the ``wanted`` columns stand.
 
-    All files of a folder must have the same header: one with other columns or another order, or
-    a value that is not of its column's type, is an error.
+    The header of a file is its line that holds all of their names; a record is one line.
+    """
+    text = spark.read.text(path).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("file"), F.rtrim("value", F.lit("\r")).alias("line"))
+    named = text.where(reduce(lambda a, b: a & b, [F.col("line").contains(n) for n in wanted]))
+    widest = named.agg(F.max(F.size(F.split("line", ",")))).first()[0]
+    if widest is None:
+        raise LoadError(f"no behaviour file has the columns {wanted}")
+    parsed = F.from_csv("line", ", ".join(f"c{i} string" for i in range(widest)))
+    cells = F.array(*[parsed[f"c{i}"] for i in range(widest)])
+    heads = named.select("file", "line", F.transform(cells, F.trim).alias("names"))
+    heads = heads.where(F.size(F.array_intersect("names", F.array(*[F.lit(n) for n in wanted]))) == len(wanted))
+    heads = heads.groupBy("file").agg(F.min("line").alias("head"), F.min("names").alias("names"))
+    return text.select("file", "line", cells.alias("cells")), heads
+
+
+def load_behavior_csv(spark: SparkSession, path: str) -> Loaded:
+    """The columns used of the behaviour CSV; each file's own header tells where they stand, in any order.
+
+    Rows of a file without such a header, and rows with a value that is not of its column's type, are quarantined
+    with their reasons, their line and their file. A folder without any header is an error.
     """
     schema = schemas.BEHAVIOR_CSV
-    names = spark.read.option("header", True).csv(path).columns
-    absent = [f.name for f in schema if f.name not in names]
-    if absent:
-        raise LoadError(f"the behaviour file lacks {absent}")
-    text = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    # column pruning would leave the headers of later files unchecked
-    raw = spark.read.schema(text).option("header", True).option("enforceSchema", False).option("columnPruning", False).csv(path)
-    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+    rows, heads = _csv_cells(spark, path, schema.names)
+    met = rows.join(heads, "file", "left").where("head is null or line <> head")
+    picked = {f.name: F.get("cells", F.array_position("names", f.name).cast("int") - 1) for f in schema}
+    typed = met.select("file", "line", "head", *[F.trim(c).alias(f"text_{n}") for n, c in picked.items()])
+    typed = typed.select("file", "line", "head", *[f"text_{n}" for n in picked], *[F.col(f"text_{f.name}").try_cast(f.dataType).alias(f.name) for f in schema])
+    wrong = {f"bad_{n}": F.col(n).isNull() & F.col(f"text_{n}").isNotNull() for n in picked}
+    checked = rules.with_reasons(typed, {"file_without_header": F.col("head").isNull(), **wrong}).drop("head", *[f"text_{n}" for n in picked])
+    clean, bad = rules.split(checked)
+    total, failed = checked.agg(F.count("*"), F.count_if(F.size("reasons") > 0)).first()
+    return Loaded(clean.select(*schema.names), bad, failed / total if total else 0.0)
+
+
+def read_behavior_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The good rows of :func:`load_behavior_csv`."""
+    return load_behavior_csv(spark, path).clean
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:

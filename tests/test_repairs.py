@@ -21,6 +21,9 @@ PROFILE = {
 }
 
 
+NOW = at("2024-01-30T00:00:00")
+
+
 def _lines(tmp_path, rows):
     path = tmp_path / "profiles.json"
     path.write_text("\n".join(map(json.dumps, rows)))
@@ -112,20 +115,20 @@ def test_duplicates_shuffle_a_digest_only(spark, make):
     assert len(keys) == 1 and not any(name in keys[0] for name in events.columns)
 
 
-def test_a_behaviour_file_with_another_header_is_an_error(spark, tmp_path):
+def test_each_behaviour_file_has_its_own_header(spark, tmp_path):
     names = schemas.BEHAVIOR_CSV.names
-    (tmp_path / "a.csv").write_text(",".join(names) + "\n1,High,2,3,0,5\n")
-    assert readers.read_behavior_csv(spark, str(tmp_path)).first().EngagementLevel == "High"
-    (tmp_path / "b.csv").write_text(",".join(reversed(names)) + "\n5,0,3,2,High,1\n")
-    with pytest.raises(Exception, match="CSV header does not conform"):
-        readers.read_behavior_csv(spark, str(tmp_path)).collect()
-    (tmp_path / "b.csv").unlink()
-    (tmp_path / "a.csv").write_text(",".join(names) + "\nx,High,2,3,0,5\n")
-    with pytest.raises(PySparkException):
-        readers.read_behavior_csv(spark, str(tmp_path)).collect()
-    (tmp_path / "a.csv").write_text("PlayerID,Other\n1,2\n")
-    with pytest.raises(readers.LoadError, match="lacks"):
-        readers.read_behavior_csv(spark, str(tmp_path))
+    (tmp_path / "a.csv").write_text(",".join(names) + '\r\n1,"High, very",2,3,0,5\r\nx,Low,2,3,0,5\n,Low,2,3,0,5\n')
+    (tmp_path / "b.csv").write_text("Age," + ",".join(reversed(names)) + "\n30,5,0,3,2,Medium,7\n30,5,0,3.5,two,Medium,8\n")
+    loaded = readers.load_behavior_csv(spark, str(tmp_path))
+    assert sorted(map(tuple, loaded.clean.collect()), key=str) == [(1, "High, very", 2, 3, 0, 5), (7, "Medium", 2, 3, 0, 5), (None, "Low", 2, 3, 0, 5)]
+    bad = {r["line"]: r["reasons"] for r in loaded.quarantine.collect()}
+    assert bad == {"x,Low,2,3,0,5": ["bad_PlayerID"], "30,5,0,3.5,two,Medium,8": ["bad_SessionsPerWeek", "bad_AvgSessionDurationMinutes"]}
+    assert loaded.bad_share == 0.4
+    (tmp_path / "c.csv").write_text("PlayerID,Other\n1,2\n")
+    again = readers.load_behavior_csv(spark, str(tmp_path))
+    assert [r["reasons"][0] for r in again.quarantine.where("line like '%Other' or line = '1,2'").collect()] == ["file_without_header"] * 2
+    with pytest.raises(readers.LoadError, match="no behaviour file"):
+        readers.read_behavior_csv(spark, str(tmp_path / "c.csv"))
 
 
 def test_a_repeated_key_needs_an_order(spark):
@@ -141,3 +144,45 @@ def test_sql_leaves_no_views(spark):
     assert readers.run_sql(spark, "SELECT count(*) AS n FROM {mine} WHERE id >= :least", {"least": 1}, {"mine": rows}).first().n == 2
     assert spark.table("mine").count() == 7
     spark.catalog.dropTempView("mine")
+
+
+def test_event_suite_scans_once_and_shuffles_digests(spark, make, tmp_path):
+    make.E([{"player_id": f"p{i % 7}", "timestamp": NOW, "event_type": "purchase", "purchase_amount": float(i % 5)} for i in range(100)]).write.parquet(
+        f"{tmp_path}/events"
+    )
+    events = spark.read.parquet(f"{tmp_path}/events")
+    for build in (lambda: quality.event_checks(events, NOW), lambda: quality.duplicates(events, NOW, exact=True)):
+        assert build()._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 1
+    repeated = [df.first()["message"] for df in (quality.duplicates(events, NOW), quality.duplicates(events, NOW, exact=True))]
+    assert repeated == ["Found 65 duplicate events (65.00%)"] * 2
+    summary = quality.profile_summary(events, make.P([{"player_id": "p1"}]), NOW)
+    assert summary._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 1
+
+
+def test_loads_store_their_quarantine(spark, tmp_path):
+    good = [PROFILE | {"player_id": f"p{i}"} for i in range(20)]
+    path = _lines(tmp_path, [*good, PROFILE | {"player_id": "old", "age": "old"}])
+    loaded = readers.load_profiles(spark, path, landing=str(tmp_path / "landed"))
+    assert loaded.clean.count() == 20 and loaded.bad_share == 1 / 21
+    assert [r["reasons"] for r in readers.read_quarantine(spark, str(tmp_path / "landed")).collect()] == [["corrupt_record"]]
+    assert "FileScan text" not in loaded.clean._jdf.queryExecution().sparkPlan().toString()
+    clean = readers.load_profiles(spark, _lines(tmp_path, good), landing=str(tmp_path / "all_good"))
+    assert clean.quarantine.count() == 0 and readers.load_profiles(spark, _lines(tmp_path, []), landing=str(tmp_path / "none")).clean.count() == 0
+
+
+def test_keyed_writes_read_the_partitions_of_the_batch(spark, tmp_path):
+    rows = [(f"2024-01-{d:02d}", f"m{d}", d) for d in range(1, 29)]
+    history = spark.createDataFrame(rows, "d string, metric_name string, v int").select(
+        F.col("d").cast("date").alias("metric_date"), "metric_name", F.col("v").cast("decimal(10,4)").alias("metric_value")
+    )
+    args = (str(tmp_path), "daily_metrics_history", ["metric_date", "metric_name"], "metric_date")
+    sinks.upsert(history, *args, "2024-02-01 00:00:00")
+    batch = history.where("metric_date between '2024-01-10' and '2024-01-12'")
+    near = sinks.stored_near(batch, str(tmp_path), "daily_metrics_history", "metric_date")
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(metric_date" in plan and len(near.inputFiles()) > 0
+    assert near.count() == 3 and sinks.stored_near(batch.limit(0), str(tmp_path), "daily_metrics_history", "metric_date").count() == 0
+    sinks.upsert(batch, *args, "2024-02-02 00:00:00")
+    sinks.insert_if_absent(batch, *args, "2024-02-03 00:00:00")
+    stored = readers.read_table(spark, str(tmp_path), "daily_metrics_history")
+    assert stored.count() == 28 and stored.where("updated_at > '2024-02-01'").count() == 3
