@@ -47,7 +47,10 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def map_batches(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema) -> DataFrame:
-    """``df.mapInArrow`` with batches bounded in bytes, unless the session sets its own bound."""
+    """``df.mapInArrow`` with batches bounded in bytes, unless the session sets its own bound.
+
+    The bound is a setting of the session, which a plan reads when it runs, so it stays set.
+    """
     ship_package(df.sparkSession)
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(2**31 - 1))) > 64 << 20:
