@@ -110,8 +110,10 @@ def _fit(chosen: DataFrame, features: Features, labelled: int) -> Logistic:
 
     rows = map_batches(chosen.select("text", "y"), each, "x binary, y double").limit(labelled).toArrow()
     width = len(features(None))
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), "<f4").reshape(-1, width).astype(float)
-    return Logistic(x, rows.column("y").to_numpy()) if len(x) else Logistic(np.zeros((1, width)), np.array([0.5]))
+    if not rows.num_rows:
+        return Logistic(np.zeros((1, width)), np.array([0.5]))
+    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), "<f4").reshape(rows.num_rows, width).astype(float)
+    return Logistic(x, rows.column("y").to_numpy())
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", labelled: int = LABELLED) -> Logistic:

@@ -184,6 +184,9 @@ def test_model_edges(spark, messy):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r["doc_id"] for r in rows if r["kept"])
     assert quality_model.judge(messy.limit(0), labels).count() == 0
     assert quality_model.judge(messy, labels.limit(0)).count() == len(ROWS)
+    both = spark.createDataFrame([(1, 1, 0), (8, 0, 1), (9, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for docs, given in ((messy, both), (messy, both.limit(0)), (messy.limit(0), both), (messy, both.where("doc_id = 1"))):
+        assert quality_model.judge(docs, given).where("toxic_probability between 0 and 1").count() == docs.count()
 
 
 MIT = """MIT Licence
