@@ -99,9 +99,10 @@ def scaled_runs(spark, sf_dir: str) -> dict[str, float]:
         df.repartition(16).write.parquet(f"{folder}/{name}")
         stored[name] = spark.read.parquet(f"{folder}/{name}")
     P, E, S, CF = stored.values()
-    inputs = f"{folder}/json"
+    inputs, arrays = f"{folder}/json", f"{folder}/arrays"
     for df, name in ((P, "player_profiles"), (E, "player_events"), (CF, "churn_features")):
         sinks.write_json(df, f"{inputs}/{name}.json")
+        sinks.write_json_arrays(df.coalesce(1), f"{arrays}/{name}.json")
     as_of = AS_OF.replace(day=31)
 
     def fresh() -> str:
@@ -111,6 +112,10 @@ def scaled_runs(spark, sf_dir: str) -> dict[str, float]:
         for df in readers.load_all(spark, inputs, as_of, landing=fresh()).values():
             materialise(df)
 
+    def load_arrays() -> None:
+        for df in readers.load_all(spark, arrays, as_of, array_file=True, landing=fresh()).values():
+            materialise(df)
+
     def load_and_derive() -> None:
         loaded = readers.load_all(spark, inputs, as_of, landing=fresh())
         for df in dashboard_tables(loaded["player_profiles"], loaded["player_events"], as_of).values():
@@ -118,6 +123,7 @@ def scaled_runs(spark, sf_dir: str) -> dict[str, float]:
 
     runs = {
         "full_json_load": load,
+        "full_json_load_of_one_array_each": load_arrays,
         "full_json_load_and_dashboard": load_and_derive,
         "feature_engineering": lambda: materialise(engineer_features(CF)),
         "cohort_retention": lambda: materialise(retention.cohort_retention(P, S, COHORT_START, COHORT_END)),
