@@ -6,6 +6,7 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from emberline import schemas
@@ -266,6 +267,25 @@ def test_model_quality_and_storage(spark, make, tmp_path):
     assert folds["accuracy_mean"] >= 0.8 and folds["roc_auc_std"] >= 0
 
 
+def test_few_partitions_of_a_fit_do_not_gather_what_comes_before(make, monkeypatch, tmp_path):
+    """Sorting and ranking the folds keeps its own tasks, whatever the number of partitions to fit on."""
+    X, y = _labelled(make, 400)
+    data, folds, folder = cm.training_data(X, y), cm.stratified_folds, str(tmp_path)
+
+    @F.udf("int")
+    def noted(fold):
+        at = TaskContext.get()
+        open(f"{folder}/{at.stageId()}-{at.partitionId()}", "w").close()
+        return fold
+
+    monkeypatch.setattr(cm, "stratified_folds", lambda *a: folds(*a).repartition(4, "player_id").withColumn("fold", noted("fold")))
+    model = cm.train_models(data, cv_folds=2, grids={"random_forest": cm.POINT_GRIDS["random_forest"]})
+    trained = {f.name for f in tmp_path.iterdir()}
+    cm.cross_validate(model, data, 2)
+    validated = {f.name for f in tmp_path.iterdir()} - trained
+    assert len({f.split("-")[1] for f in trained}) == len({f.split("-")[1] for f in validated}) == 4
+
+
 def test_training_needs_rows(make):
     X, y = _labelled(make, 8)
     with pytest.raises(ValueError, match="10 players or more"):
