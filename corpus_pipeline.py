@@ -22,7 +22,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shingles.drop_similar(docs)
+    """SimHash fingerprints linked through the tree, as op3 links them; similar texts that lie further apart link too."""
+    return shingles.drop_near_or_similar(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,9 @@ each bucket of a few bands with the other members, which unites most groups of n
 links a member. In the second all bands take part: the members of a bucket that are not united yet
 meet in blocks, where pairs that agree in size and in two bits of most minima are compared exactly.
 Pairs are never rows: a block returns only the links that unite its members.
+
+:func:`drop_near_or_similar` begins with the SimHash links of :mod:`emberline.llm.simhash`: what they
+unite counts as one, and the rounds above only look for what lies further apart.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import types as T
 from emberline.llm.common import col, map_batches, ship_package, staged
 from emberline.llm.components import connected_components
 from emberline.llm.exact_dedup import sha256
-from emberline.llm.simhash import one_of_each, settle, shingle_hashes
+from emberline.llm.simhash import fingerprint, join_near, one_of_each, settle, shingle_hashes
 
 SEED = 42
 #: A pair of similarity s shares no band, and so is missed, with probability (1 - s**DEPTH) ** BANDS: 1.3e-7 at 0.8.
@@ -62,10 +65,11 @@ def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _WORDLESS = -1
 
 
-def _sketches(docs: DataFrame, shingle: int, id: str, text: str) -> DataFrame:
+def _sketches(docs: DataFrame, shingle: int, id: str, text: str, voters: int | None = None) -> DataFrame:
     """One stored row per row of ``docs``: doc_id, text and its digest, a number (``fp``), and of the shingle set the size, bits and band keys.
 
-    A number is a row's own, so no hash stands for a text; only rows without words share one.
+    A number is a row's own, so no hash stands for a text; only rows without words share one. With
+    ``voters`` also ``print``, the SimHash fingerprint of shingles of so many words.
     """
 
     def each(batches: Iterator[pa.RecordBatch]):
@@ -74,10 +78,14 @@ def _sketches(docs: DataFrame, shingle: int, id: str, text: str) -> DataFrame:
             keys, bits = zip(*[sketch(s) for s in sets], strict=True) if sets else ((), ())
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (bits, keys)]
             names = ["doc_id", "digest", "text", "size", "bits", "keys"]
+            if voters is not None:
+                prints = np.array([fingerprint(t, voters) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+                lists, names = [*lists, pa.array(prints)], [*names, "print"]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(s) for s in sets], pa.int32()), *lists], names=names)
 
     narrow = docs.select(col(id).alias("doc_id"), sha256(col(text)).alias("digest"), col(text).alias("text"))
-    rows = map_batches(narrow, each, T.StructType([*narrow.schema, *T.StructType.fromDDL("size int, bits array<long>, keys array<long>")]))
+    found = "size int, bits array<long>, keys array<long>" + (", print long" if voters is not None else "")
+    rows = map_batches(narrow, each, T.StructType([*narrow.schema, *T.StructType.fromDDL(found)]))
     number = F.monotonically_increasing_id()
     return staged(rows.withColumn("fp", F.when(F.col("size") == 0, F.lit(_WORDLESS).cast("long")).otherwise(number)))
 
@@ -117,11 +125,11 @@ def _alike(size, other, similarity: float):
 
 
 def _led(members: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of the leader of each bucket, its smallest number, and a member that may be similar."""
-    led = members.groupBy("key").agg(F.min(F.struct(*_MEMBER)).alias("led")).select(F.col("key").alias("led_key"), *[F.col(f"led.{c}").alias(f"led_{c}") for c in _MEMBER])
+    """Pairs (a, b) of the leader of each bucket, its smallest number, and a member of another label that may be similar."""
+    led = members.groupBy("key").agg(F.min(F.struct(*_MEMBER, "label")).alias("led")).select(F.col("key").alias("led_key"), *[F.col(f"led.{c}").alias(f"led_{c}") for c in (*_MEMBER, "label")])
     words = [F.col("bits")[i].bitwiseXOR(F.col("led_bits")[i]) for i in range(_WORDS)]
     unlike = sum((F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(_PAIRS)) for x in words), F.lit(0))
-    met = members.join(led, (F.col("key") == F.col("led_key")) & (F.col("fp") != F.col("led_fp")) & _alike("size", "led_size", similarity) & (unlike <= DIFFERENT))
+    met = members.join(led, (F.col("key") == F.col("led_key")) & (F.col("label") != F.col("led_label")) & _alike("size", "led_size", similarity) & (unlike <= DIFFERENT))
     return met.select(F.col("fp").alias("a"), F.col("led_fp").alias("b")).distinct()
 
 
@@ -202,19 +210,30 @@ def _linked(similarity: float):
     return each
 
 
-def similar_labels(rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """``node`` and ``label`` of the rows that links reach: those that share a bucket and are similar.
+def near_links(rows: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b), stored, from rows to the smallest row that links of their ``print`` within ``radius`` bits reach."""
+    met = join_near(rows.select(F.col("fp").alias("doc_id"), F.col("print").alias("fp")), radius)
+    return staged(met.where("doc_id != component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
+
+
+def _named(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The ``rows`` with words and their ``known`` label (fp, label), else their own number."""
+    return rows.where("size > 0").join(known, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
 
-    In the second round the graph has one node for all that the first has united.
+def similar_labels(rows: DataFrame, similarity: float, shingle: int, near: DataFrame) -> DataFrame:
+    """``node`` and ``label`` of the rows that links reach: those ``near``, and those that share a bucket and are similar.
+
+    ``near`` has an edge (a, b) from a row to the smallest of its group. In the second round the graph has
+    one node for all that the first has united.
     """
     ship_package(rows.sparkSession)
-    some = rows.where("size > 0").select(*_MEMBER, F.explode(F.slice("keys", 1, FIRST)).alias("key"))
-    members = _open(some.withColumn("label", F.col("fp")))
+    some = _named(rows, near.select(F.col("a").alias("fp"), F.col("b").alias("label")))
+    members = _open(some.select(*_MEMBER, "label", F.explode(F.slice("keys", 1, FIRST)).alias("key")))
     pairs = staged(_led(members, similarity))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    labels = connected_components(_similar(pairs, _sets(rows, wanted, shingle), similarity))
-    known = labels.select(F.col("node").alias("fp"), "label")
-    named = rows.where("size > 0").join(known, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    labels = connected_components(_similar(pairs, _sets(rows, wanted, shingle), similarity).unionByName(near))
+    named = _named(rows, labels.select(F.col("node").alias("fp"), "label"))
     # buckets are settled on narrow rows; what a comparison needs joins those that are left
     left = _open(named.select("fp", "size", "label", F.posexplode("keys").alias("band", "key")))
     sets = _sets(rows, left.select("fp").distinct(), shingle)
@@ -235,5 +254,22 @@ def drop_similar(
     other. Null and repeated ids do not link. Empty in, empty out.
     """
     rows = _sketches(docs, shingle, id, text)
-    labels = similar_labels(rows, similarity, shingle)
+    none = rows.where("false").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+    return _one_of_each_label(docs, rows, similar_labels(rows, similarity, shingle, none), id, text)
+
+
+def drop_near_or_similar(
+    docs: DataFrame, radius: int = 2, voters: int = 3, similarity: float = 0.8, shingle: int = 5, id: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """Of each group of near copies one row of ``docs`` with the smallest id, with its own columns.
+
+    Texts link as in :func:`simhash.drop_near_copies`, by fingerprints of ``voters`` words that differ in at most
+    ``radius`` bits, or as in :func:`drop_similar`, however far their fingerprints are apart. Links of both kinds chain.
+    """
+    rows = _sketches(docs, shingle, id, text, voters)
+    labels = similar_labels(rows, similarity, shingle, near_links(rows, radius))
+    return _one_of_each_label(docs, rows, labels, id, text)
+
+
+def _one_of_each_label(docs: DataFrame, rows: DataFrame, labels: DataFrame, id: str, text: str) -> DataFrame:
     return one_of_each(docs, settle(rows.select("doc_id", "digest", "fp"), labels), id, text)

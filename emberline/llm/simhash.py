@@ -213,13 +213,17 @@ def settle(rows: DataFrame, labels: DataFrame, classes: DataFrame | None = None)
     )
 
 
-def _decide(docs: DataFrame, radius: int, shingle: int, id: str, text: str, copies: bool) -> DataFrame:
-    rows = staged(fingerprints(docs, shingle, id, text, copies))
+def join_near(rows: DataFrame, radius: int) -> DataFrame:
+    """``rows`` (a stored table: doc_id, fp, ...) with the component_id and label that links within ``radius`` bits give."""
     classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     edges = staged(links(classes, radius))
     return settle(rows, connected_components(edges), classes)
 
 
+def _decide(docs: DataFrame, radius: int, shingle: int, id: str, text: str, copies: bool) -> DataFrame:
+    return join_near(staged(fingerprints(docs, shingle, id, text, copies)), radius)
+
+
 def mark_near_copies(docs: DataFrame, radius: int = 2, shingle: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, fingerprint (16 hex digits), component_id.
 

@@ -195,6 +195,26 @@ def test_near_stage_drops_what_is_similar_and_no_more(spark, rng):
     assert 40 < len(kept) < len(set(slow_components(points, points, 2)))
 
 
+def test_near_stage_drops_what_simhash_links(spark, rng):
+    """Texts with few shingles in common, but within two bits; links of both kinds chain."""
+    line = " ".join(f"w{rng.randrange(5000)}" for _ in range(31))
+
+    def tail(n):
+        return " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+
+    # a line repeated often settles the votes, while most of the different shingles are those of the tails
+    voted = [" ".join([line] * 400 + [tail(120)]) for _ in range(4)]
+    plain = [tail(100) for _ in range(20)]
+    far = " ".join([*[line] * 3, voted[0].split(line)[-1]])  # similar to the first, but many bits away
+    texts = [*voted, *plain, far, far.replace("w", "v", 2)]
+    points, similar = [slow_fingerprint(t) for t in texts], slow_similar(texts)
+    near = slow_components(list(range(len(texts))), points, 2)
+    assert near[:4] == [0] * 4 and similar[:4] == [0, 1, 2, 3]
+    assert near[-2] != 0 and similar[-2] == 0
+    kept = corpus_pipeline.near_stage(spark, documents(spark, list(enumerate(texts))), SF_DIR).collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, *range(4, len(texts) - 2)]
+
+
 def slow_runs(given, least):
     """Lines that later repeated runs cover, by (id, text)."""
     docs = sorted({(i, t or "") for i, t in given}, key=lambda d: order(d[0]))
