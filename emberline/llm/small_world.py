@@ -108,6 +108,17 @@ def _ordered(nodes: np.ndarray, who: np.ndarray, far: np.ndarray, most: int) ->
     return nodes[start], ids, dist
 
 
+def _known(entries: np.ndarray, n: int) -> np.ndarray:
+    """The entries among the first ``n`` nodes, -1 for others; the first nodes for a row without any.
+
+    A layer above of more than DENSE nodes has some that are not yet in the layer being built.
+    """
+    known = np.where(entries < n, entries, -1)
+    none, some = (known < 0).all(axis=1), min(ENTRIES, n, known.shape[1])
+    known[none, :some] = np.arange(some)
+    return known
+
+
 def _layer(x: np.ndarray, most: int, entries) -> np.ndarray:
     """Neighbours of every row of ``x``, ``most`` at most; ``entries(a, b)`` gives rows a to b nodes to start from."""
     n = len(x)
@@ -124,7 +135,7 @@ def _layer(x: np.ndarray, most: int, entries) -> np.ndarray:
     while at < n:
         end = min(n, at + min(BATCH, at))
         q = x[at:end]
-        ids, far = beam(x[:at], links[:at], q, entries(at, end), BUILD)
+        ids, far = beam(x[:at], links[:at], q, _known(entries(at, end), at), BUILD)
         square = (q * q).sum(axis=1)
         own = np.maximum(0, square[:, None] + square - 2 * q @ q.T).astype(np.float32)
         np.fill_diagonal(own, np.inf)

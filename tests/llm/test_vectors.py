@@ -145,6 +145,18 @@ def test_recall_of_the_graph(spark, tmp_path, monkeypatch, spread):
     assert recall(got, true) >= 0.9
 
 
+@pytest.mark.parametrize("n", [33 * 16, 40 * 16, 200 * 16])
+def test_graph_with_a_large_second_layer(monkeypatch, n):
+    """A layer above of more than DENSE nodes is larger than the first part of the one below; its nodes are no entries yet."""
+    monkeypatch.setattr(small_world, "DENSE", 32)
+    x = np.random.default_rng(6).normal(size=(n, 16)).astype(np.float32)
+    graph = small_world.build_graph(x)
+    assert small_world.sizes(n)[1] > 32 and all((links < len(links)).all() for links in graph.layers)
+    found = graph.search(x[:200])[:, :11]
+    true = np.argsort(((x[:200, None] - x) ** 2).sum(axis=2), axis=1)[:, :11]
+    assert sum(len({*a} & {*b}) for a, b in zip(found.tolist(), true.tolist(), strict=True)) >= 0.99 * 200 * 11
+
+
 def test_given_vectors(spark):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF_DIR}/embeddings.parquet").collect()]
     got = [tuple(r[c] for c in ("query_id", "rank", "vec_id", "score")) for r in queries.op13_nearest(spark, SF_DIR).collect()]
