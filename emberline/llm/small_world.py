@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from emberline.llm.common import col, map_batches, staged
 
-#: Different vectors of a shard, and queries searched together.
-SHARD, BATCH = 4096, 512
+#: Different vectors of a shard, queries searched together, and bytes of queries handed to all shards at once.
+SHARD, BATCH, SENT = 4096, 512, 32 << 20
 #: Neighbours in an upper layer (twice as many in the lowest), width of the beam when building and when searching.
 LINKS, BUILD, SEARCH = 16, 64, 128
 #: One node in LINKS goes on to the next layer; a layer of so few is linked by all distances.
@@ -279,43 +280,62 @@ def _batches(queries: DataFrame, width: int) -> DataFrame:
     return staged(map_batches(queries.select("id", "vector"), each, "numbers array<long>, ids array<long>, vectors binary"))
 
 
+def _answers(x: np.ndarray, owners: np.ndarray, ids: np.ndarray, lacking: np.ndarray, q: np.ndarray, q_ids: np.ndarray, q_lacking: np.ndarray, found: np.ndarray, k: int):
+    """Row of ``q``, entry of ``ids`` and score of the ``k`` nearest entries of the nodes ``found`` for each, itself left out."""
+    score = np.where(found < 0, np.inf, np.sqrt(((x[found] - q[:, None]) ** 2).sum(axis=2)))
+    # a node has an entry or more, of which one can be the query itself where the score is zero
+    most = min(k + int((score == 0).sum(axis=1).max(initial=0)), found.shape[1])
+    row, at = np.nonzero((found >= 0) & (score <= np.partition(score, most - 1, axis=1)[:, most - 1, None]))
+    node, score = found[row, at], score[row, at]
+    start = np.searchsorted(owners, np.arange(len(x) + 1))
+    count = start[node + 1] - start[node]
+    pair = np.repeat(np.arange(len(node)), count)
+    entry = np.arange(len(pair)) - np.repeat(np.cumsum(count) - count, count) + start[node][pair]
+    row, score = row[pair], score[pair]
+    itself = (score == 0) & (lacking[entry] == q_lacking[row]) & (ids[entry] == q_ids[row])
+    itself[1:] &= ~(itself[:-1] & (pair[1:] == pair[:-1]))  # equal ids of a node stand together; one of them is the query
+    row, entry, score = row[~itself], entry[~itself], score[~itself]
+    order = np.lexsort((ids[entry], lacking[entry], score, row))
+    row, entry, score = row[order], entry[order], score[order]
+    best = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[best], entry[best], score[best]
+
+
+def _numbers(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers with 0 for null, and which are null."""
+    return values.fill_null(0).to_numpy(zero_copy_only=False), values.is_null().to_numpy(zero_copy_only=False)
+
+
 def search_index(index: DataFrame, queries: DataFrame, width: int, k: int, scale: float = 1.0, beam_width: int = SEARCH) -> DataFrame:
     """The ``k`` nearest of each query found: number (of the query), query_id, rank, id and score (Euclidean distance).
 
-    A query is sent to every shard once, in a batch; each shard answers with its own ``k`` nearest. A query that is
-    itself indexed does not find itself.
+    Every shard sees every query once, in a batch, and answers with its own ``k`` nearest. Shards are searched where they
+    are read; the queries go to them, SENT bytes in a round, so neither is written again for each of the other. A query
+    that is itself indexed does not find itself.
     """
-    last = index.agg(F.max("shard")).first()[0]
-    sent = _batches(queries, width).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))))
-    asked = sent.withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors"}).join(index, "shard")
-    asked = asked.select("numbers", "q_ids", "q_vectors", "vectors", "owners", "ids", "layers")
+    sent = _batches(queries, width).withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors"})
+    rounds = max(1, -(-(sent.agg(F.sum(F.octet_length("q_vectors"))).first()[0] or 0) // SENT))
 
     def each(groups):
         for group in groups:
-            for numbers, q_ids, q_raw, raw, owners, ids, layers in zip(*(c.to_pylist() for c in group.columns), strict=True):
-                q, x = (np.frombuffer(r, np.float64).reshape(-1, width) for r in (q_raw, raw))
+            columns = [group.column(name) for name in ("numbers", "q_ids", "q_vectors", "vectors", "owners", "ids", "layers")]
+            for numbers, q_ids, q_raw, raw, owners, ids, layers in zip(*columns, strict=True):
+                q, x = (np.frombuffer(r.as_buffer(), np.float64).reshape(-1, width) for r in (q_raw, raw))
                 n = sizes(len(x))
-                graph = Graph((x / scale).astype(np.float32), [np.frombuffer(g, np.int32).reshape(m, -1) for g, m in zip(layers, n, strict=True)])
+                graph = Graph((x / scale).astype(np.float32), [np.frombuffer(g.as_buffer(), np.int32).reshape(m, -1) for g, m in zip(layers, n, strict=True)])
                 found = graph.search((q / scale).astype(np.float32), max(beam_width, k + 1))
-                start = np.searchsorted(owners, np.arange(len(x) + 1))
-                out = []
-                for i, near in enumerate(found):
-                    near = near[near >= 0]
-                    far = np.sqrt(((x[near] - q[i]) ** 2).sum(axis=1))
-                    rows = []
-                    for node, score in zip(near.tolist(), far.tolist(), strict=True):
-                        same = ids[start[node] : start[node + 1]]
-                        if score == 0 and q_ids[i] in same:
-                            same.remove(q_ids[i])
-                        rows += [(score, j is None, j or 0) for j in same]
-                    out += [(numbers[i], q_ids[i], None if lacking else j, score) for score, lacking, j in sorted(rows)[:k]]
-                columns = list(zip(*out, strict=True)) or [()] * 4
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["number", "query_id", "id", "score"])
+                row, entry, score = _answers(x, owners.values.to_numpy(), *_numbers(ids.values), q, *_numbers(q_ids.values), found, k)
+                arrays = [numbers.values.take(pa.array(row)), q_ids.values.take(pa.array(row)), ids.values.take(pa.array(entry)), pa.array(score)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["number", "query_id", "id", "score"])
 
     nearest = Window.partitionBy("number").orderBy("score", F.asc_nulls_last("id"))
-    found = map_batches(asked, each, "number long, query_id long, id long, score double")
-    return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("number", "query_id", "rank", "id", "score")
+    found = []
+    for n in range(rounds):
+        asked = index.drop("shard").crossJoin(F.broadcast(sent.where(F.pmod(F.xxhash64("numbers"), F.lit(rounds)) == n)))
+        each_k = map_batches(asked, each, "number long, query_id long, id long, score double")
+        best = each_k.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("number", "query_id", "rank", "id", "score")
+        found.append(best if rounds == 1 else staged(best))
+    return reduce(DataFrame.union, found)
 
 
 def nearest(rows: DataFrame, queries: Column, id: str = "vec_id", vector: str = "embedding", k: int = 10) -> DataFrame:

@@ -125,6 +125,28 @@ def test_nearest_messy(spark, tmp_path, monkeypatch):
     assert np.allclose([r[3] for r in sorted(got, key=key)], [r[3] for r in sorted(true, key=key)], rtol=1e-12)
 
 
+def test_nearest_in_rounds(spark, tmp_path, monkeypatch):
+    """Queries beyond SENT bytes go to the shards in rounds; no row of a shard is paired with one query by a shuffle."""
+    monkeypatch.setattr(small_world, "SHARD", 60)
+    monkeypatch.setattr(small_world, "SENT", 200)
+    rows = [(i * 50, [float(c) for c in v], 0) for i, v in enumerate(np.float32(np.random.default_rng(9).normal(size=(200, 4))))]
+    got, true = neighbours(spark, rows + rows[:20], tmp_path), slow_nearest([r[:2] for r in rows + rows[:20]])
+    assert sorted((q, r, i, round(d, 9)) for q, r, i, d in got) == sorted((q, r, i, round(d, 9)) for q, r, i, d in true)
+
+
+def test_answers_leave_out_the_query_alone():
+    """One entry with the query's own id and vector is left out; equal scores go by id, null ids last."""
+    x = np.array([[0.0, 0.0], [3.0, 4.0], [1e308, 0.0]])
+    owners, ids, lacking = np.array([0, 0, 0, 1, 1, 2]), np.array([7, 7, 0, 7, 0, 5]), np.array([0, 0, 1, 0, 1, 0], bool)
+    q, found = np.zeros((2, 2)), np.array([[0, 1, 2, -1], [0, 1, 2, -1]])
+    with np.errstate(over="ignore"):
+        row, entry, score = small_world._answers(x, owners, ids, lacking, q, np.array([7, 0]), np.array([False, True]), found, 5)
+    assert row.tolist() == [0] * 5 + [1] * 5
+    assert [(ids[e], bool(lacking[e])) for e in entry[:5]] == [(7, False), (0, True), (7, False), (0, True), (5, False)]
+    assert [(ids[e], bool(lacking[e])) for e in entry[5:]] == [(7, False), (7, False), (7, False), (0, True), (5, False)]
+    assert score.tolist() == [0, 0, 5, 5, math.inf] * 2
+
+
 def test_nearest_few_and_none(spark, tmp_path):
     assert neighbours(spark, [], tmp_path / "a") == []
     assert neighbours(spark, [(0, [1.0, 2.0], 1)], tmp_path / "b") == []
